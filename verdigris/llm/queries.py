@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import quality, toxicity
+from verdigris.llm import bpe, quality, simhash, toxicity
 from verdigris.llm.common import held_out, table
 
 
@@ -34,9 +34,21 @@ def op2_nn_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_nn_vote_quality": op2_nn_vote_quality,
+    "op4_simhash_gray_index": op4_simhash_gray_index,
+    "op6_bpe_trie": op6_bpe_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {}
