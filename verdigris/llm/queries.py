@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, quality, simhash, toxicity
+from verdigris.llm import bpe, decontaminate, html_text, oracles, quality, shards, simhash, toxicity, url_filter
 from verdigris.llm.common import held_out, table
 
 
@@ -38,17 +38,41 @@ def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return url_filter.judge(pages, url_filter.labelled_outcomes(pages, labels))
+
+
+def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_nn_vote_quality": op2_nn_vote_quality,
     "op4_simhash_gray_index": op4_simhash_gray_index,
+    "op5_ngram_decontamination": op5_ngram_decontamination,
     "op6_bpe_trie": op6_bpe_trie,
+    "op7_host_reputation": op7_host_reputation,
+    "op9_hypergeometric_shards": op9_hypergeometric_shards,
+    "op10_composite_density": op10_composite_density,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_decontamination": oracles.DECONTAMINATION,
+    "op7_host_reputation": oracles.HOST_REPUTATION,
+}
