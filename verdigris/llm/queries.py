@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, decontaminate, html_text, oracles, quality, shards, simhash, toxicity, url_filter
+from verdigris.llm import bm25, bpe, decontaminate, html_text, licenses, oracles, quality, shards, simhash, toxicity, url_filter
 from verdigris.llm.common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op2_nn_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,12 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled_outcomes(pages, labels))
 
 
+def op8_blockmax_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20, as a whole-text query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -64,10 +74,12 @@ def op10_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_nn_vote_quality": op2_nn_vote_quality,
+    "op3_license_minhash": op3_license_minhash,
     "op4_simhash_gray_index": op4_simhash_gray_index,
     "op5_ngram_decontamination": op5_ngram_decontamination,
     "op6_bpe_trie": op6_bpe_trie,
     "op7_host_reputation": op7_host_reputation,
+    "op8_blockmax_bm25": op8_blockmax_bm25,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_composite_density": op10_composite_density,
 }
