@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking
+from verdigris.plans import benchmarking, inference
 
-MODULES = (benchmarking,)
+MODULES = (benchmarking, inference)
 
 
 def queries() -> dict:
