@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,9 @@ def _ratio(top: Column, bottom: Column, empty: float) -> Column:
 
 
 def set_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
-    """Of two arrays as sets; ``empty`` if both are."""
-    return _ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), empty)
+    """Of two arrays of distinct values; ``empty`` if both are."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared), F.lit(empty))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -22,7 +23,8 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters."""
+    """Distinct runs of n characters. ``text`` should be a column, as a lambda evaluates anew for each
+    run whatever expression it is given."""
     grams = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
     return F.when(F.char_length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
@@ -42,16 +44,23 @@ def strict_ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(set_jaccard(x, y, 0.0))
 
 
-def weighted_ngrams(a: Column, b: Column) -> Column:
-    """Jaccard of 2- to 5-grams weighted .2 .3 .3 .2; sizes that neither text has are left out."""
-    x, y = F.lower(a), F.lower(b)
+#: Sizes of n-grams and their weights.
+NGRAM_WEIGHTS = {2: 0.2, 3: 0.3, 4: 0.3, 5: 0.2}
+
+
+def with_weighted_ngrams(df: DataFrame, a: str, b: str, into: str) -> DataFrame:
+    """Adds the weighted Jaccard of 2- to 5-grams of two text columns; sizes that neither text has are
+    left out. The n-grams are columns of their own, so each is made once per row."""
+    sides = {f"_{side}{n}": char_ngrams(F.col(f"_{side}"), n) for n in NGRAM_WEIGHTS for side in "ab"}
+    df = df.withColumns({"_a": F.lower(a), "_b": F.lower(b)}).withColumns(sides)
+    shared = df.withColumns({f"_s{n}": F.size(F.array_intersect(f"_a{n}", f"_b{n}")) for n in NGRAM_WEIGHTS})
     top, bottom = F.lit(0.0), F.lit(0.0)
-    for n, w in ((2, 0.2), (3, 0.3), (4, 0.3), (5, 0.2)):
-        p, q = char_ngrams(x, n), char_ngrams(y, n)
-        some = (F.size(p) > 0) & (F.size(q) > 0)
-        top = top + F.when(some, w * set_jaccard(p, q)).otherwise(0.0)
+    for n, w in NGRAM_WEIGHTS.items():
+        some = (F.size(f"_a{n}") > 0) & (F.size(f"_b{n}") > 0)
+        top = top + F.when(some, w * F.col(f"_s{n}") / (F.size(f"_a{n}") + F.size(f"_b{n}") - F.col(f"_s{n}"))).otherwise(0.0)
         bottom = bottom + F.when(some, w).otherwise(0.0)
-    return F.when(x == y, F.lit(1.0)).when(bottom > 0, top / bottom).otherwise(0.0)
+    score = F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).when(bottom > 0, top / bottom).otherwise(0.0)
+    return shared.withColumn(into, score).drop("_a", "_b", *sides, *[f"_s{n}" for n in NGRAM_WEIGHTS])
 
 
 def keywords(text: Column) -> Column:
@@ -100,23 +109,24 @@ def expected_overlap(content: Column, expected: Column) -> Column:
     return F.least(F.lit(1.0), _ratio(hits, F.size(F.array_union(c, e)), 0.0))
 
 
-def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Word edits over reference words. Distinct words become private code points, so that the built-in
-    edit distance works on words."""
-    r, h = F.filter(F.split(reference, r"\s+"), lambda w: w != ""), F.filter(F.split(hypothesis, r"\s+"), lambda w: w != "")
-    vocabulary = F.array_union(r, h)
-    # 0x4E00 on: 20,902 letters in the plane that one code unit holds; pairs with more distinct words are rare and null
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(vocabulary, w))), "")
-    edits = F.levenshtein(coded(r), coded(h))
-    return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(edits / F.size(r))
+def with_word_error_rate(df: DataFrame, reference: str, hypothesis: str, into: str) -> DataFrame:
+    """Adds word edits over reference words. Built-in edit distance works on letters, so each word is
+    first stood for by one letter, by its place among the pair's distinct words. What lambdas look up
+    is a column of its own, made once per row."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    df = df.withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))}).withColumn("_d", F.array_union("_r", "_h"))
+    df = df.withColumn("_m", F.map_from_arrays("_d", F.transform("_d", lambda _, i: _letter(i))))
+    coded = lambda c: F.array_join(F.transform(c, lambda w: F.element_at("_m", w)), "")
+    edits = F.levenshtein(coded("_r"), coded("_h"))
+    rate = F.when(F.size("_r") == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(edits / F.size("_r"))
+    return df.withColumn(into, rate).drop("_r", "_h", "_d", "_m")
 
 
 def _letter(k: Column) -> Column:
-    """A letter for each k from 1 to 20,000: three UTF-8 bytes from U+4E00 on."""
+    """The k-th letter from U+4E00 on, for k up to 20,000."""
     code = k + 0x4E00
-    byte = lambda x: F.lpad(F.hex(x), 2, "0")
-    three = F.concat(byte(F.floor(code / 4096) + 0xE0), byte(F.pmod(F.floor(code / 64), F.lit(64)) + 0x80), byte(F.pmod(code, F.lit(64)) + 0x80))
-    return F.decode(F.unhex(three), "UTF-8")
+    units = [F.shiftright(code, 8), code.bitwiseAND(F.lit(255))]
+    return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(u), 2, "0") for u in units])), "UTF-16BE")
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference
+from verdigris.plans import benchmarking, inference, texts
 
-MODULES = (benchmarking, inference)
+MODULES = (benchmarking, inference, texts)
 
 
 def queries() -> dict:
