@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference, texts
+from verdigris.plans import benchmarking, inference, records, texts
 
-MODULES = (benchmarking, inference, texts)
+MODULES = (benchmarking, inference, texts, records)
 
 
 def queries() -> dict:
