@@ -182,7 +182,7 @@ def events(spark, sf):
 
 EVENTS = """WITH e AS (SELECT event_id AS id, event_type, ts, 'provider-' || user_id % 5 AS provider, value / 10 AS latency, CAST(floor(value) AS BIGINT) AS input_tokens, CAST(floor(value / 2) AS BIGINT) AS output_tokens, value / 1000 AS cost,
   CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
-STATS = "count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost, round(avg(latency), 6) AS avg_latency, max(latency) AS max_latency"
+STATS = "count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost, round(avg(latency), 9) AS avg_latency, max(latency) AS max_latency"
 
 
 @query("STR3_provider_stats", EVENTS + f" SELECT provider, {STATS} FROM e GROUP BY provider")
@@ -222,7 +222,7 @@ def str8(spark, sf):
     return jobs(spark, sf).groupBy("user_id").agg(F.round(benchmark.ratio(F.count_if(F.col("status") == "completed") * 100.0, F.count("*")), 6).alias("progress"))
 
 
-@query("STR13_tumbling", EVENTS + " SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(latency), 6) AS avg_latency FROM e GROUP BY ALL")
+@query("STR13_tumbling", EVENTS + " SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(latency), 9) AS avg_latency FROM e GROUP BY ALL")
 def str13(spark, sf):
     return monitoring.tumbling(events(spark, sf), "1 hour").withColumn("start", F.to_timestamp_ntz(F.col("start").cast("string")))
 
@@ -230,10 +230,10 @@ def str13(spark, sf):
 @query(
     "STR13_sliding",
     EVENTS
-    + """, w AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - o * INTERVAL 30 MINUTE AS start FROM e, range(2) t(o)) SELECT start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(latency), 4) AS avg_latency FROM w GROUP BY start""",
+    + """, w AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - o * INTERVAL 30 MINUTE AS start FROM e, range(2) t(o)) SELECT start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(latency), 9) AS avg_latency FROM w GROUP BY start""",
 )
 def str13b(spark, sf):
-    return monitoring.sliding(events(spark, sf), "1 hour", "30 minutes").withColumns({"start": F.to_timestamp_ntz(F.col("start").cast("string")), "avg_latency": F.round("avg_latency", 4)})
+    return monitoring.sliding(events(spark, sf), "1 hour", "30 minutes").withColumns({"start": F.to_timestamp_ntz(F.col("start").cast("string"))})
 
 
 @query(

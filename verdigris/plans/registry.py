@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference, records, texts
+from verdigris.plans import benchmarking, inference, more, records, texts
 
-MODULES = (benchmarking, inference, texts, records)
+MODULES = (benchmarking, inference, texts, records, more)
 
 
 def queries() -> dict:

@@ -30,7 +30,7 @@ def measures() -> list[Column]:
     error = F.col("event_type") == "error"
     return [
         F.count("*").alias("requests"), F.count_if(error).alias("errors"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.sum("cost"), 6).alias("cost"), F.round(F.avg("latency"), 6).alias("avg_latency"), F.max("latency").alias("max_latency"),
+        F.round(F.sum("cost"), 6).alias("cost"), F.round(F.avg("latency"), 9).alias("avg_latency"), F.max("latency").alias("max_latency"),
     ]
 
 
