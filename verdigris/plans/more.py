@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
-from verdigris.operators import benchmark, coherence, consistency, inference, ranking, verification
+from verdigris.operators import benchmark, coherence, consistency, generation, inference, ranking, verification
 from verdigris.plans import inference as P
 from verdigris.plans import texts as T
 from verdigris.plans.fixtures import RESULTS, model_results, references, results, table, turns
-from verdigris.sources import files
+from verdigris.sources import builtin, files, report
 from verdigris.streaming import monitoring
 
 Q, SQL = {}, {}
@@ -332,3 +332,83 @@ def snk1(spark, sf):
     at = f"{scratch(spark)}/csv"
     files.write_csv(results(spark, sf).select("test_id", "status"), at, delimiter=";")
     return spark.read.schema("test_id string, status string").option("header", True).option("delimiter", ";").csv(at)
+
+
+@query("SRC5_builtin_datasets", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {len(c)}::BIGINT)" for d, c in builtin.DATASETS.items()) + ") d(dataset, cases)")
+def src5(spark, sf):
+    return builtin.datasets(spark).groupBy("dataset").agg(F.count("*").alias("cases"))
+
+
+@query("SNK5_executive_report")
+def snk5(spark, sf):
+    page = report.executive_report(results(spark, sf))
+    return spark.createDataFrame([(page, len(page))], "html string, size long")
+
+
+@query("SNK9_exporter_series", "SELECT 'provider-' || user_id % 5 AS provider, count(*)::DOUBLE AS value FROM events GROUP BY 1")
+def snk9(spark, sf):
+    from verdigris.plans.records import events
+
+    return monitoring.counters(events(spark, sf)).where("name = 'requests_total'").select("provider", "value")
+
+
+@query("AGG24_running_provider_stats", "SELECT 'provider-' || user_id % 5 AS provider, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success_rate FROM events GROUP BY 1")
+def agg24(spark, sf):
+    from verdigris.plans.records import events
+
+    s = monitoring.provider_stats(events(spark, sf))
+    return s.select("provider", "requests", "errors", F.round((F.col("requests") - F.col("errors")) / F.col("requests"), 6).alias("success_rate"))
+
+
+@query("AGG29_part_kinds", "SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM conversations GROUP BY conv_id")
+def agg29(spark, sf):
+    """Parts of each message by kind: here the turns of each conversation by role."""
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
+
+
+@query("JN6_claims_and_sentences")
+def jn6(spark, sf):
+    return verification.supports(T.numbered(spark, sf), T.source_sentences(spark, sf), keep=10**6)
+
+
+@query("GEN2_difficulty_draws")
+def gen2(spark, sf):
+    return spark.range(10_000).select(generation.difficulty(generation.uniform(5, "id")).alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("n"))
+
+
+@query("GEN4_content_templates", "SELECT t AS template, p AS topic FROM (VALUES " + ", ".join(f"('{t}')" for t in generation.TEMPLATES) + ") a(t), (VALUES " + ", ".join(f"('{t}')" for t in generation.TOPICS) + ") b(p)")
+def gen4(spark, sf):
+    pairs = [(t, p) for t in generation.TEMPLATES for p in generation.TOPICS]
+    return spark.createDataFrame(pairs, "template string, topic string")
+
+
+@query("GEN5_severity_templates", "SELECT c AS category, s AS severity, 'Probe for ' || c || ' at ' || s || ' severity' AS prompt FROM (VALUES ('formatting'), ('ambiguity'), ('length')) a(c), (VALUES ('low'), ('medium'), ('high'), ('critical')) b(s)")
+def gen5(spark, sf):
+    """Harmless probes by category and severity."""
+    rows = [(c, s) for c in ("formatting", "ambiguity", "length") for s in ("low", "medium", "high", "critical")]
+    return spark.createDataFrame(rows, "category string, severity string").withColumn("prompt", F.format_string("Probe for %s at %s severity", "category", "severity"))
+
+
+@query("UDF4_multimodal_score", "SELECT p_partkey, round(coalesce(list_avg(list_filter([CASE WHEN p_size % 2 = 0 THEN p_size / 50.0 END, CASE WHEN p_size % 3 = 0 THEN 1 - p_size / 100.0 END], lambda x: x IS NOT NULL)), 0.0), 6) AS score FROM part")
+def udf4(spark, sf):
+    """The mean of the branches that are present: vision, and one less the word error rate."""
+    k = F.col("p_size")
+    some = F.filter(F.array(F.when(k % 2 == 0, k / 50.0), F.when(k % 3 == 0, 1 - k / 100.0)), lambda x: x.isNotNull())
+    return table(spark, sf, "part").select("p_partkey", some.alias("s")).select("p_partkey", F.round(F.when(F.size("s") == 0, 0.0).otherwise(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")), 6).alias("score"))
+
+
+@query("UDF5_evaluate_all", T.SCORES + " SELECT sample_id, round((exact + part + length) / 3, 6) AS accuracy, round((words + format) / 2, 6) AS quality FROM s")
+def udf5(spark, sf):
+    s = T.scores(spark, sf)
+    return s.select("sample_id", F.round((F.col("exact") + F.col("part") + F.col("length")) / 3, 6).alias("accuracy"), F.round((F.col("words") + F.col("format")) / 2, 6).alias("quality"))
+
+
+@query("DML6_updated_at", "SELECT o_orderkey AS id, o_orderkey % 10 = 0 AS changed FROM orders")
+def dml6(spark, sf):
+    """Whatever an update touches is stamped."""
+    from verdigris.operators import records
+    from verdigris.plans.records import as_of, jobs
+
+    j = jobs(spark, sf).select("id", "status", F.lit(None).cast("timestamp").alias("updated_at"))
+    changed = records.update(j, j.where("id % 10 = 0").select("id", F.lit("cancelled").alias("status")), as_of())
+    return changed.select("id", F.col("updated_at").isNotNull().alias("changed"))
