@@ -29,7 +29,8 @@ from verdigris.llm.common import TokenCache
 SHINGLE = 5
 LEAST = 0.8
 HASHES, BAND = 16, 2
-WORDS_AT_ONCE = 1 << 16
+WORDS_AT_ONCE = 1 << 14
+FIRST_BITS = np.uint64(48)
 WORD = re.compile(r"[^\W_]+")
 
 #: Short forms of public licences' notices, as they stand in texts and sources.
@@ -97,7 +98,9 @@ class Scanner:
             keys = np.concatenate([self.keys(self.minima(self.hash(words(templates[self.names[t]])), [m])[m][:1]) for t in members])
             flat, owner = keys.ravel(), np.repeat(members, keys.shape[1])
             order = np.argsort(flat, kind="stable")
-            self.bands[m] = flat[order], owner[order]
+            some = np.zeros(1 << 16, bool)
+            some[flat >> FIRST_BITS] = True  # most windows' keys are told apart by their first bits
+            self.bands[m] = some, flat[order], owner[order]
 
     def hash(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.cache.__getitem__, found), np.uint64, len(found))
@@ -116,18 +119,22 @@ class Scanner:
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """One key for each band; bands differ."""
-        pairs = minima.reshape(len(minima), HASHES // BAND, BAND)
-        return mixed(pairs[:, :, 0] * PLACES[0] + mixed(pairs[:, :, 1]) * PLACES[1] + np.arange(HASHES // BAND, dtype=np.uint64))
+        keys = minima[:, 0::BAND] * PLACES[0]
+        keys += minima[:, 1::BAND] * PLACES[1]
+        keys += SALTS[: HASHES // BAND]
+        return keys
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
         """(start, windows' length in shingles, template) where a band agrees."""
         found = set()
         for m, minima in self.minima(hashes, self.lengths).items():
             step = max(1, m // 8)
-            keys, (known, owner) = self.keys(minima[::step]), self.bands[m]
-            low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-            for w, b in zip(*np.nonzero(low < high)):
-                found |= {(int(w) * step, m, int(t)) for t in owner[low[w, b] : high[w, b]]}
+            keys, (some, known, owner) = self.keys(minima[::step]), self.bands[m]
+            window, band = np.nonzero(some[keys >> FIRST_BITS])
+            key = keys[window, band]
+            low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+            for k in np.flatnonzero(low < high):
+                found |= {(int(window[k]) * step, m, int(t)) for t in owner[low[k] : high[k]]}
         return found
 
     def scan(self, docs: list[list[str]]) -> list[tuple[int, str, float, int, int]]:
