@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -224,10 +225,16 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(source: str) -> Codec:
+    """A worker process keeps its codec, and the words it knows, from task to task."""
+    return Codec(source)
+
+
 def coded_udf(source: str):
     @F.pandas_udf("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(source)
+        codec = codec_of(source)
         for texts in batches:
             rows = []
             for text in texts:
