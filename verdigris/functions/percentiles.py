@@ -5,7 +5,8 @@
 ``middle``   the mean of the two middle values (p is ignored)
 
 Values are counted before they are shuffled, and a running count over each group's distinct values
-finds the ranks, so no group is ever collected into a list.
+finds the ranks, so no group is ever collected into a list. What a task sorts for a group are its distinct
+values, which for durations in whole milliseconds are bounded, however many rows there are.
 """
 
 from __future__ import annotations
