@@ -261,13 +261,15 @@ def txt25(spark, sf):
     return bias.detect(T.biased_texts(spark, sf)).groupBy(bias.severity(F.col("relevance")).alias("severity")).agg(F.count("*").alias("n"))
 
 
-@query("TXT30_complexity", "SELECT doc_id AS id, round(least(1.0, 0.5 + least(1.0, length(text) / 1000.0) * 0.2), 6) AS generated, round(least(1.0, least(0.3, length(text) / 5000.0) + least(0.2, len(regexp_extract_all(text, '[^\\w\\s]')) / length(text)::DOUBLE) + 0.2), 6) AS adversarial FROM documents WHERE length(text) > 0 AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+SPECIAL = r"[^a-zA-Z0-9_ \t\n\r\f\x0B]"
+
+
+@query("TXT30_complexity", f"SELECT doc_id AS id, round(least(1.0, 0.5 + least(1.0, length(text) / 1000.0) * 0.2), 6) AS generated, round(least(1.0, least(0.3, length(text) / 5000.0) + least(0.2, len(regexp_extract_all(text, '{SPECIAL}')) / greatest(1, length(text))::DOUBLE) + 0.2), 6) AS adversarial FROM documents")
 def txt30(spark, sf):
-    """Of ASCII texts (word characters beyond ASCII differ between regex engines)."""
     n = F.char_length("text")
-    special = F.regexp_count("text", F.lit(r"[^\w\s]"))
-    d = T.documents(spark, sf).where((n > 0) & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("id", F.round(F.least(F.lit(1.0), 0.5 + F.least(F.lit(1.0), n / 1000) * 0.2), 6).alias("generated"), F.round(F.least(F.lit(1.0), F.least(F.lit(0.3), n / 5000) + F.least(F.lit(0.2), special / n) + 0.2), 6).alias("adversarial"))
+    special = F.regexp_count("text", F.lit(SPECIAL)) / F.greatest(F.lit(1), n)
+    adversarial = F.least(F.lit(0.3), n / 5000) + F.least(F.lit(0.2), special) + 0.2
+    return T.documents(spark, sf).select("id", F.round(F.least(F.lit(1.0), 0.5 + F.least(F.lit(1.0), n / 1000) * 0.2), 6).alias("generated"), F.round(F.least(F.lit(1.0), adversarial), 6).alias("adversarial"))
 
 
 @query("TXT31_diff_summary", T.GOLDEN + " SELECT sample_id, CAST(greatest(0, length(output) - length(golden)) AS INT) AS chars_added, CAST(greatest(0, length(golden) - length(output)) AS INT) AS chars_removed FROM g")
