@@ -181,6 +181,20 @@ def test_reputation_shrinks_and_blocks(spark):
     assert r["bad.x.net"]["lower"] > 0.5 and r["once.y.net"]["rate"] < 0.5
 
 
+def test_hosts_without_outcomes_have_the_rate_above_them(spark):
+    """A new host is blocked where its domain is bad, and where only its suffix is; elsewhere it isn't."""
+    rows = [(f"h{i}.bad.net", int(i % 10 > 0)) for i in range(20) for _ in range(20)] + [(f"g{i}.good.com", int(i % 10 == 0)) for i in range(20) for _ in range(20)]
+    hosts = ["new.bad.net", "new.other.net", "new.good.com", "new.other.com", "h1.bad.net", "h0.bad.net", "g1.good.com"]
+    pages = spark.createDataFrame([(i, f"x://{h}/p") for i, h in enumerate(hosts)] + [(9, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    verdict = {r["host"]: r["verdict"] for r in url_filter.judge(pages, outcomes).collect()}
+    assert verdict["new.bad.net"] == verdict["h1.bad.net"] == "block" and verdict["new.good.com"] == verdict["g1.good.com"] == verdict["h0.bad.net"] == "allow"
+    known, r = ({x["host"]: x for x in url_filter.reputations(outcomes, *s).collect()} for s in ((), (pages.select(url_filter.host_of(F.col("url")).alias("host")),)))
+    assert all(abs(r[h]["rate"] - known[h]["rate"]) < 1e-9 for h in known)  # the strengths are those of hosts with outcomes
+    assert r["new.bad.net"]["rate"] > 0.8 and r["new.other.net"]["rate"] > r[""]["rate"] > r["new.other.com"]["rate"]
+    assert verdict == {h: "block" if r[h]["lower"] > url_filter.MOST_BAD else "allow" for h in verdict}
+
+
 # op3
 
 

@@ -9,7 +9,8 @@ posterior bad rate is above ``MOST_BAD``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and the
 verdict of the empty host; repeated rows are judged each; hosts without outcomes have their domain's
-rate; with no outcomes at all, all are allowed but for rules; extra columns are ignored.
+rate, or their suffix's or the overall one where that has none either, and are judged by the same
+bound; with no outcomes at all, all are allowed but for rules; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,14 +102,17 @@ def strength(groups: DataFrame) -> DataFrame:
     return t.select("m", k.alias("k"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(host, rate, lower): posterior mean and lower bound of the bad rate of each host with outcomes
-    (host, bad); the row of a domain or suffix alone is not needed, as no outcomes mean no block."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    (host, bad), and of each one in ``seen`` (host), whose posterior without outcomes is its prior."""
+    counted = outcomes.select("host", F.lit(1).alias("n"), "bad")
+    if seen is not None:
+        counted = counted.union(seen.select("host", F.lit(0), F.lit(0)))
+    hosts = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    one = lambda df, level: F.broadcast(strength(df).select(F.col("m").alias(f"m{level}"), F.col("k").alias(f"k{level}")))
+    one = lambda df, level: F.broadcast(strength(df.where("n > 0")).select(F.col("m").alias(f"m{level}"), F.col("k").alias(f"k{level}")))
 
     s = suffixes.join(one(suffixes, "s")).select("suffix", ((F.col("bad") + F.col("ks") * F.col("ms")) / (F.col("n") + F.col("ks"))).alias("suffix_rate"))
     d = (
@@ -126,7 +130,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url); ``outcomes``:
     (host, bad 0 or 1), one row per labelled page."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    bad = reputations(outcomes).where(F.col("lower") > MOST_BAD).select("host", F.lit("block").alias("known"))
+    bad = reputations(outcomes, seen.select("host")).where(F.col("lower") > MOST_BAD).select("host", F.lit("block").alias("known"))
     host, path = F.col("host"), F.col("path")
     return seen.join(bad, "host", "left").select(
         "page_id", "host", "path",
