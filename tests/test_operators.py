@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from verdigris.operators import benchmark, generation, inference, ranking, records, stress, verification
-from verdigris.sources import files
+from verdigris.sources import files, report
 from verdigris.streaming import monitoring
 
 RESULT = "test_id string, provider string, model string, category string, repository string, status string, duration_ms long, prompt_tokens long, completion_tokens long, ts timestamp"
@@ -35,6 +36,16 @@ def test_fleet(spark):
     assert [x["repository"] for x in benchmark.failing(r, 0.6).collect()] == ["c"]
 
 
+def test_report_lists_every_failing_repository(spark, tmp_path):
+    rows = [(f"r{i:02}<", "success" if k < 17 else "failure", 1, 1, 1) for i in range(45) for k in range(20)] + [("fine", "success", 1, 1, 1)]
+    r = results(spark, *rows)
+    page = report.executive_report(r)
+    assert "Failing repositories, below 90% (45 found)" in page and "Providers (1 found)" in page
+    assert re.findall(r"<td>(r\d\d&lt;)</td><td>0.8500</td><td>20</td>", page) == [f"r{i:02}&lt;" for i in range(45)]
+    report.write_report(r, str(tmp_path / "report"))
+    assert "".join(x for f in sorted((tmp_path / "report").glob("part-*")) for x in f.read_text().splitlines()) == page
+
+
 def test_histogram_of_equal_values(spark):
     h = {x["bin"]: x["n"] for x in benchmark.histogram(results(spark, *[("r", "success", 5, 1, 1)] * 2), 3).collect()}
     assert h == {0: 2, 1: 0, 2: 0}
