@@ -283,6 +283,28 @@ def test_page_without_article_element():
     assert html_text.main_text(page) == "One paragraph with a good many words in it, as articles have.\nAnd another one that is about as long as the first."
 
 
+LONG = "<p>One paragraph with a good many words in it, as articles have.</p><p>And another one that is about as long as the first.</p>"
+LONG_TEXT = "One paragraph with a good many words in it, as articles have.\nAnd another one that is about as long as the first."
+SIDE = "<div class='sidebar'><p>Related things, to be read elsewhere</p></div>"
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class='no-sidebar'>", "<div id='right-sidebar'>", "<form id='aspnetForm'>", "<form><div class='searchPage'>"])
+def test_wrappers_of_the_article_are_kept(wrapper):
+    assert html_text.main_text(f"<body>{wrapper}<article>{LONG}</article>{SIDE}") == LONG_TEXT
+    assert html_text.main_text(f"<body>{wrapper}<div>{LONG}</div>{SIDE}") == LONG_TEXT
+    assert html_text.main_text(f"<body><main>{wrapper}<article>{LONG}<div class='comments'><article class='comment'><p>I say</article></div></article>") == LONG_TEXT
+
+
+def test_text_beside_the_article_element():
+    assert html_text.main_text(f"<body><main><article>{LONG}</article><article><h2>More</h2>{LONG}</article></main>{SIDE}") == f"{LONG_TEXT}\nMore\n{LONG_TEXT}"
+    long, short = f"<article><div>{LONG * 3}</div></article>", f"<article><div>{LONG}</div></article>"
+    assert html_text.main_text(f"<body><main>{long}{short}</main>{SIDE}") == "\n".join([LONG_TEXT] * 4)
+    assert html_text.main_text(f"<body>{long}{short}{SIDE}") == "\n".join([LONG_TEXT] * 4)
+    assert html_text.main_text(f"<body><div class='ad'>{LONG}</div><article><p>Short</p></article>") == "Short"
+    assert html_text.main_text(f"<body><h1>Site</h1><main><div><h1>Title</h1></div><article>{LONG}</article></main>") == f"Title\n{LONG_TEXT}"
+    assert html_text.main_text(f"<body><main><h1>Title</h1><div><article>{LONG}</article><article>{LONG}</article></div></main>") == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("   ", ""), ("<br>", ""), ("<!-- x", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("<script>x", ""), ("</p></div>x", "x"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text

@@ -7,8 +7,11 @@ largest sum below the body is where the article is; the least density on its pat
 threshold. From the body down, a node that reaches the threshold yields the subtree with the largest
 density sum in it; the nodes above are searched further down.
 
-What is named as something else than the article (menus, forms, adverts, comments, notices and so on,
-by tag, role or class) has no part in the densities or the text.
+What is something else than the article by its tag (menus, asides, footers and so on) or hidden has no
+part in the densities or the text. Nor have forms and what is named as something else by class, id, role
+or itemtype, unless it is a wrapper (``has-sidebar``, a page in one form), about which the densities
+decide: it holds, outside articles, an article or main element that is not so named itself, or it holds
+most of the body's text and no such article stands elsewhere.
 
 Text: character references decoded, white space within a block made one space, blocks trimmed and
 joined in page order by one newline. A line break ends a block.
@@ -36,7 +39,9 @@ HINT = re.compile(r"(?i)\s(?:class|id|role|hidden|style|aria-hidden|itemtype)\b"
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-NOT_ARTICLE = frozenset("nav aside form footer menu dialog button select option input label fieldset canvas svg math audio video object applet head".split())
+NOT_ARTICLE = frozenset("nav aside footer menu dialog button select option input label canvas svg math audio video object applet head".split())
+FORMS = frozenset("form fieldset".split())
+WHOLE = frozenset("html body article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt tr td th thead tbody".split())
 CLOSED_BY = {
@@ -58,36 +63,48 @@ SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "other", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+        self.tag, self.other, self.parent, self.children = tag, False, parent, []
         self.link = tag == "a" or (parent is not None and parent.link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
 def is_other(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether the element is something else than the article."""
+    """Whether the element is something else than the article, whatever it holds."""
     if tag in NOT_ARTICLE or tag == "header" and not inside_article:
         return True
-    if not attributes or not HINT.search(attributes) or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in WHOLE or not HINT.search(attributes):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in values(attributes):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role", "itemtype") and any(w.lower() in OTHER_WORDS for w in SPLIT_NAME.split(html.unescape(value))):
-            return True
     return False
 
 
+def is_named_other(tag: str, attributes: str) -> bool:
+    """Whether the element is a form, or named as something else than the article."""
+    if tag in FORMS:
+        return True
+    if not attributes or not HINT.search(attributes):
+        return False
+    named = (value for name, value in values(attributes) if name in ("class", "id", "role", "itemtype"))
+    return any(w.lower() in OTHER_WORDS for value in named for w in SPLIT_NAME.split(html.unescape(value)))
+
+
+def values(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in ATTRIBUTE.finditer(attributes):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
 def parse(page: str) -> Node:
-    """The page's tree, without what is_other; text is a str among a node's children."""
+    """The page's tree, without what is something else; text is a str among a node's children."""
     root = Node("#page", None)
-    at, here, end = 0, root, len(page)
+    at, here, end, some_other = 0, root, len(page), False
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -121,7 +138,38 @@ def parse(page: str) -> Node:
             if tag not in INLINE:  # what stands before and after it are two blocks still
                 here.children.append(Node("br", here))
             node.tag = "#other " + tag
+        elif is_named_other(tag, m[3]):
+            node.other = some_other = True
         here = node
+    return without_others(root) if some_other else root
+
+
+def without_others(root: Node) -> Node:
+    """Takes away what is named as something else, but for wrappers of the article."""
+    nodes = in_order(root)
+    chars: dict[int, int] = {}
+    holds: set[int] = set()  # an article or main element that is not named as something else
+    articles = 0
+    for node in reversed(nodes):
+        chars[id(node)] = sum(chars[id(c)] if isinstance(c, Node) else text_chars(c) for c in node.children)
+        articles += node.tag == "article" and not node.other and chars[id(node)] > 0
+        if any(isinstance(c, Node) and (id(c) in holds or c.tag in ("article", "main") and not c.other and chars[id(c)]) for c in node.children):
+            holds.add(id(node))
+    most = chars[id(next((n for n in nodes if n.tag == "body"), root))] / 2
+    stack = [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        kept = []
+        for child in node.children:
+            wrapper = isinstance(child, Node) and (id(child) in holds and not in_article or chars[id(child)] > most and (in_article or not articles))
+            if isinstance(child, Node) and child.other and child.tag not in WHOLE and not wrapper:
+                if child.tag not in INLINE:
+                    kept.append(Node("br", node))
+                continue
+            kept.append(child)
+            if isinstance(child, Node):
+                stack.append((child, in_article or child.tag == "article"))
+        node.children = kept
     return root
 
 
@@ -166,6 +214,10 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def text_chars(text: str) -> int:
+    return len("".join(html.unescape(text).split()))
+
+
 def weigh(root: Node) -> list[Node]:
     """Fills in counts, densities and density sums from the leaves up."""
     nodes = in_order(root)
@@ -177,7 +229,7 @@ def weigh(root: Node) -> list[Node]:
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
             else:
-                n = len("".join(html.unescape(child).split()))
+                n = text_chars(child)
                 node.chars += n
                 node.link_chars += n * node.link
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -197,7 +249,9 @@ def main_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order.
 
     Where the largest sum is in an article element, the outermost such element is it, headings
-    included. Else the search starts at the body, or at the main element that the sum is in.
+    included, after the h1 that stand before it in its main element. If there are more articles beside
+    it, the search starts at their parent. Without an article element the search starts at the body, or
+    at the main element that the sum is in. Articles that the search marks are whole.
     """
     nodes = weigh(root)
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -208,18 +262,20 @@ def main_nodes(root: Node) -> list[Node]:
     path = [n for n in ancestors(top) if within(n, body)]
     threshold = min(n.density for n in path)
     named = next((n for n in reversed(path) if n.tag == "article"), None)
+    start = whole = next((n for n in reversed(path) if n.tag == "main"), body)
     if named is not None:
-        return [named]
-    start = next((n for n in reversed(path) if n.tag == "main"), body)
+        start = named.parent
+        if sum(isinstance(c, Node) and c.tag == "article" and c.chars > 0 for c in start.children) == 1:
+            return titled([named], whole)
     best: dict[int, Node] = {}
     for node in reversed(below):  # the largest sum in each subtree
         best[id(node)] = max([node, *(best[id(c)] for c in node.children if isinstance(c, Node))], key=lambda n: n.sum)
-    marked: set[int] = set()
+    marked = {id(named)} if named is not None else set()
     stack = [start]
     while stack:
         node = stack.pop()
         if node.chars and node.density >= threshold:
-            marked.add(id(best[id(node)]))
+            marked.add(id(node if node.tag == "article" else best[id(node)]))
             stack.extend(c for c in node.children if isinstance(c, Node) and id(node) not in marked)
     found, stack = [], [start]
     while stack:  # the topmost marked ones, in page order
@@ -228,6 +284,19 @@ def main_nodes(root: Node) -> list[Node]:
             found.append(node)
         else:
             stack.extend(reversed([c for c in node.children if isinstance(c, Node)]))
+    return titled(found, whole)
+
+
+def titled(found: list[Node], whole: Node) -> list[Node]:
+    """Articles, after the h1 that stand before the first of them in their main element."""
+    if whole.tag != "main" or not any(n.tag == "article" for f in found for n in in_order(f)):
+        return found
+    titles = []
+    for node in in_order(whole):
+        if node is found[0]:
+            return [*titles, *found]
+        if node.tag == "h1" and node.chars and not any(a.tag == "article" for a in ancestors(node)):
+            titles.append(node)
     return found
 
 
