@@ -213,6 +213,17 @@ def test_licenses_against_all_shingles(spark):
     assert got[len(docs) - 1, "MIT"]["places"] == 2
 
 
+def test_licenses_do_not_depend_on_batches():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    cut = [" ".join(licenses.TEMPLATES[n].split()[:-3]) for n in ("MIT grant", "GPL-2.0 or later notice")]
+    docs = [licenses.words(t) for t in [cut[0], "a b", *random_texts(12, 9), "x y " + cut[1], "", *licenses.TEMPLATES.values(), "z " * 7 + cut[0], cut[1], None]]
+    alone = [[(d, *rest) for _, *rest in scanner.scan([t])] for d, t in enumerate(docs)]
+    assert [x[1] for x in alone[0]] == ["MIT grant"] and alone[-2] and alone[-3] and not alone[1]
+    for k in range(len(docs)):
+        assert scanner.scan(docs[:k]) + [(d + k, *rest) for d, *rest in scanner.scan(docs[k:])] == [x for found in alone for x in found]
+    assert scanner.scan([]) == []
+
+
 # op8
 
 

@@ -2,7 +2,8 @@
 
 A template is the set of its five-word shingles. A document is read in windows as long as each
 template, overlapping by seven eighths, so one of them lies within a sixteenth of a template's
-length of any place where it stands. The minima of sixteen hash functions over a window's shingles
+length of any place where it stands; windows at a document's end have what is left of it, and none goes on
+in the next document, so results don't depend on how rows fall into batches. The minima of sixteen hash functions over a window's shingles
 come from tables of minima over runs of 1, 2, 4 ... shingles. They are cut into eight bands of two. A
 window that shares 0.7 of its shingles with a template agrees with it in some band with probability
 1 - (1 - 0.7^2)^8 = 0.995, one that shares 0.8 with 0.9997. Where a band agrees, the template's exact
@@ -31,6 +32,7 @@ LEAST = 0.8
 HASHES, BAND = 16, 2
 WORDS_AT_ONCE = 1 << 14
 FIRST_BITS = np.uint64(48)
+NONE = np.uint64((1 << 64) - 1)
 WORD = re.compile(r"[^\W_]+")
 
 #: Short forms of public licences' notices, as they stand in texts and sources.
@@ -93,6 +95,8 @@ class Scanner:
         for t, name in enumerate(self.names):
             if len(found := words(templates[name])) >= SHINGLE:
                 self.lengths.setdefault(len(found) - SHINGLE + 1, []).append(t)
+        #: What follows a document: as many empty places as the longest window takes from its last word.
+        self.room = max(self.lengths, default=0) + SHINGLE
         self.bands = {}
         for m, members in self.lengths.items():
             keys = np.concatenate([self.keys(self.minima(self.hash(words(templates[self.names[t]])), [m])[m][:1]) for t in members])
@@ -105,10 +109,13 @@ class Scanner:
     def hash(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.cache.__getitem__, found), np.uint64, len(found))
 
-    def minima(self, hashes: np.ndarray, lengths) -> dict[int, np.ndarray]:
-        """For each window length m (in shingles), the HASHES minima of each window, by its start."""
+    def minima(self, hashes: np.ndarray, lengths, left: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """For each window length m (in shingles), the HASHES minima of each window, by its start. With
+        ``left``, the words from each place to its document's end, shingles beyond an end count for nothing."""
         base = shingle_hashes(hashes)
         run, size, out = mixed(base[:, None] ^ SALTS), 1, {}
+        if left is not None:
+            run[left[: len(base)] < SHINGLE] = NONE
         for m in sorted(lengths):
             while 2 * size <= m and len(run) > size:
                 run, size = np.minimum(run[:-size], run[size:]), 2 * size
@@ -124,38 +131,44 @@ class Scanner:
         keys += SALTS[: HASHES // BAND]
         return keys
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(start, windows' length in shingles, template) where a band agrees."""
+    def candidates(self, hashes: np.ndarray, at: np.ndarray, left: np.ndarray) -> set[tuple[int, int, int]]:
+        """(start, windows' length in shingles, template) where a band agrees; ``at``: each place's number
+        in its document."""
         found = set()
-        for m, minima in self.minima(hashes, self.lengths).items():
-            step = max(1, m // 8)
-            keys, (some, known, owner) = self.keys(minima[::step]), self.bands[m]
+        for m, minima in self.minima(hashes, self.lengths, left).items():
+            starts = np.flatnonzero((left >= SHINGLE) & (at % max(1, m // 8) == 0))
+            keys, (some, known, owner) = self.keys(minima[starts]), self.bands[m]
             window, band = np.nonzero(some[keys >> FIRST_BITS])
             key = keys[window, band]
             low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
             for k in np.flatnonzero(low < high):
-                found |= {(int(window[k]) * step, m, int(t)) for t in owner[low[k] : high[k]]}
+                found |= {(int(starts[window[k]]), m, int(t)) for t in owner[low[k] : high[k]]}
         return found
 
     def scan(self, docs: list[list[str]]) -> list[tuple[int, str, float, int, int]]:
         """(document, template, containment, first word, places) for each match."""
-        out, best, at = [], {}, 0
-        ends = np.cumsum([len(d) for d in docs]) if docs else np.zeros(0, int)
-        hashes = self.hash([w for d in docs for w in d])
-        for start, m, t in sorted(self.candidates(hashes)):
-            d = int(np.searchsorted(ends, start, "right"))
-            at = start - (int(ends[d - 1]) if d else 0)
+        out, best = [], {}
+        lengths = np.array([len(d) for d in docs], int)
+        places = lengths + np.where(lengths >= SHINGLE, self.room, 0)
+        first = np.cumsum(places) - places
+        in_doc = np.arange(places.sum()) - np.repeat(first, places)
+        left = np.repeat(lengths, places) - in_doc
+        hashes = np.zeros(len(left), np.uint64)
+        hashes[left > 0] = self.hash([w for d in docs for w in d])
+        for start, m, t in sorted(self.candidates(hashes, in_doc, left)):
+            d = int(np.searchsorted(first, start, "right")) - 1
+            at = int(in_doc[start])
             step = max(1, m // 8)
             from_word, to_word = max(0, at - step), at + m + SHINGLE - 1 + step
             share = len(self.sets[t] & shingles(docs[d][from_word:to_word])) / len(self.sets[t])
             if share >= LEAST:
-                places = best.setdefault((d, t), [])
-                if places and from_word < places[-1][1]:  # the same place, seen from another window
-                    places[-1] = (min(places[-1][0], from_word), to_word, max(places[-1][2], share))
+                seen = best.setdefault((d, t), [])
+                if seen and from_word < seen[-1][1]:  # the same place, seen from another window
+                    seen[-1] = (min(seen[-1][0], from_word), to_word, max(seen[-1][2], share))
                 else:
-                    places.append((from_word, to_word, share))
-        for (d, t), places in best.items():
-            out.append((d, self.names[t], max(p[2] for p in places), places[0][0], len(places)))
+                    seen.append((from_word, to_word, share))
+        for (d, t), seen in best.items():
+            out.append((d, self.names[t], max(p[2] for p in seen), seen[0][0], len(seen)))
         return sorted(out)
 
 
@@ -175,7 +188,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             for k, text in enumerate(batch["text"], 1):
                 found = words(text)
                 chunk.append(found)
-                size += len(found)
+                size += len(found) + scanner.room
                 if size >= WORDS_AT_ONCE or k == len(ids):
                     flush(k)
                     chunk, size = [], 0
