@@ -4,14 +4,16 @@ A template is the set of its five-word shingles. A document is read in windows a
 template, overlapping by seven eighths, so one of them lies within a sixteenth of a template's
 length of any place where it stands; windows at a document's end have what is left of it, and none goes on
 in the next document, so results don't depend on how rows fall into batches. The minima of sixteen hash functions over a window's shingles
-come from tables of minima over runs of 1, 2, 4 ... shingles. They are cut into eight bands of two. A
-window that shares 0.7 of its shingles with a template agrees with it in some band with probability
-1 - (1 - 0.7^2)^8 = 0.995, one that shares 0.8 with 0.9997. Where a band agrees, the template's exact
+come from tables of minima over runs of 1, 2, 4 ... shingles, and each is a band of its own. A minimum
+agrees with a template's with the Jaccard similarity of the two as probability: a window that is as long,
+shares 0.8 of its shingles and is off by a sixteenth has (0.8 - 1/16) / (2 - 0.8 + 1/16) = 0.584, and some
+band agrees with probability 1 - (1 - 0.584)^16 > 0.999999; at a Jaccard of 0.4 it is still 0.9997. Where a band agrees, the template's exact
 shingles are counted in the window and a stride on either side; 0.8 of them make a match.
 
 Defined results: null, empty and short texts have no rows; repeated rows are scanned each, so their
 rows repeat; long texts are read whole; extra columns are ignored; without templates or documents the
-result is empty. A template of fewer than five words is one shingle of all of them.
+result is empty. A template of fewer than five words is one shingle of all of them, and looked up exactly;
+one without words is never found.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from verdigris.llm.common import TokenCache
 
 SHINGLE = 5
 LEAST = 0.8
-HASHES, BAND = 16, 2
+HASHES, BAND = 16, 1
 WORDS_AT_ONCE = 1 << 14
 FIRST_BITS = np.uint64(48)
 NONE = np.uint64((1 << 64) - 1)
@@ -92,8 +94,11 @@ class Scanner:
         self.sets = [shingles(words(templates[n])) for n in self.names]
         self.cache = TokenCache(word_hash)
         self.lengths: dict[int, list[int]] = {}
+        self.short: list[tuple[int, list[str], np.ndarray]] = []
         for t, name in enumerate(self.names):
-            if len(found := words(templates[name])) >= SHINGLE:
+            if 0 < len(found := words(templates[name])) < SHINGLE:
+                self.short.append((t, found, self.hash(found)))
+            elif found:
                 self.lengths.setdefault(len(found) - SHINGLE + 1, []).append(t)
         #: What follows a document: as many empty places as the longest window takes from its last word.
         self.room = max(self.lengths, default=0) + SHINGLE
@@ -127,7 +132,8 @@ class Scanner:
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """One key for each band; bands differ."""
         keys = minima[:, 0::BAND] * PLACES[0]
-        keys += minima[:, 1::BAND] * PLACES[1]
+        for k in range(1, BAND):
+            keys += minima[:, k::BAND] * PLACES[k]
         keys += SALTS[: HASHES // BAND]
         return keys
 
@@ -167,7 +173,19 @@ class Scanner:
                     seen[-1] = (min(seen[-1][0], from_word), to_word, max(seen[-1][2], share))
                 else:
                     seen.append((from_word, to_word, share))
+        for t, template, known in self.short:
+            n = len(known)
+            same = np.ones(max(0, len(hashes) - n + 1), bool)
+            for k in range(n):
+                same &= hashes[k : len(hashes) - n + 1 + k] == known[k]
+            for start in np.flatnonzero(same & (left[: len(same)] >= n)).tolist():
+                d, at = int(np.searchsorted(first, start, "right")) - 1, int(in_doc[start])
+                seen = best.setdefault((d, t), [])
+                if docs[d][at : at + n] == template and not (seen and at < seen[-1][1]):
+                    seen.append((at, at + n, 1.0))
         for (d, t), seen in best.items():
+            if not seen:
+                continue
             out.append((d, self.names[t], max(p[2] for p in seen), seen[0][0], len(seen)))
         return sorted(out)
 
