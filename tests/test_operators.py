@@ -108,6 +108,13 @@ def test_records(spark):
     assert [x["id"] for x in records.cleanup(s, at, 30).collect()] == [2]
 
 
+def test_every_strategy_generates(spark):
+    names = ["template", "variation", "distribution_aware", "edge_case", "adversarial", "combinatorial", "progressive", "cross_domain"]
+    made = {s: [(x["id"], x["difficulty"]) for x in generation.cases(spark, 60, 3, s).collect()] for s in names}
+    assert all(len(rows) == 60 for rows in made.values())
+    assert made["variation"] == made["distribution_aware"] == made["cross_domain"] == made["template"] != made["edge_case"]
+
+
 def test_generation_repeats(spark):
     a, b = (generation.cases(spark, 50, 3).collect() for _ in range(2))
     assert a == b

@@ -31,10 +31,11 @@ def pick(values, u: Column) -> Column:
 
 def cases(spark: SparkSession, n: int, seed: int, strategy: str = "template") -> DataFrame:
     """(id, difficulty, prompt, hash). Strategies set the difficulty: edge cases are hard in 70 %,
-    adversarial ones always, progressive ones by thirds of the run."""
+    adversarial ones always, progressive ones by thirds of the run. Variations, distribution-aware and
+    cross-domain cases differ from templates by name only, as in what they were modelled on."""
     u = uniform(seed, "id")
     hard = {
-        "template": difficulty(u), "edge_case": F.when(u < 0.7, "hard").otherwise("medium"), "adversarial": F.lit("hard"),
+        **dict.fromkeys(("template", "variation", "distribution_aware", "cross_domain"), difficulty(u)), "edge_case": F.when(u < 0.7, "hard").otherwise("medium"), "adversarial": F.lit("hard"),
         "progressive": F.when(F.col("id") / n < 0.33, "easy").when(F.col("id") / n < 0.66, "medium").otherwise("hard"),
         "combinatorial": difficulty(uniform(seed + 1, F.col("id") % len(TEMPLATES), F.col("id") % len(TOPICS))),
     }
