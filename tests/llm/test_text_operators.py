@@ -275,6 +275,16 @@ def test_top_k_is_brute_force(spark, monkeypatch):
         assert [(d, round(s, 6)) for _, d, s in sorted(got[q])] == [(d, round(-s, 6)) for s, _, d in best]
 
 
+def test_repeated_queries_are_one_and_texts_of_one_id_are_ranked_apart(spark):
+    docs = texts(spark, list(enumerate(random_texts(60, 31))))
+    one, other = docs.where("doc_id = 3"), docs.where("doc_id = 4").withColumn("doc_id", F.lit(3).cast("long"))
+    ranked = lambda queries: sorted(((r["rank"], r["doc_id"], round(r["score"], 9)) for r in bm25.top_k(docs, queries).collect()), key=str)
+    first, second = ranked(one), ranked(other)
+    assert len(first) == len(second) == 10 and first != second
+    assert ranked(one.union(one)) == first
+    assert ranked(one.union(other).union(one)) == sorted(first + second, key=str)
+
+
 # op9
 
 
