@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from verdigris.operators import benchmark, generation, inference, ranking, records, stress, verification
-from verdigris.sources import files, report
+from verdigris.sources import builtin, files, report
 from verdigris.streaming import monitoring
 
 RESULT = "test_id string, provider string, model string, category string, repository string, status string, duration_ms long, prompt_tokens long, completion_tokens long, ts timestamp"
@@ -108,6 +108,14 @@ def test_records(spark):
     assert [x["id"] for x in records.cleanup(s, at, 30).collect()] == [2]
 
 
+def test_builtin_datasets_are_whole(spark):
+    rows = builtin.datasets(spark).collect()
+    counts = {d: sum(r["dataset"] == d for r in rows) for d in builtin.DATASETS}
+    assert counts == {"coding-tasks": 7, "reasoning-tasks": 5, "summarization-tasks": 4, "instruction-following": 6, "creative-writing": 6}
+    assert all(set(re.findall(r"{{(\w+)}}", r["prompt"])) == set(r["variables"]) for r in rows)
+    assert sum(bool(r["variables"]) for r in rows) == 15 and all(r["max_tokens"] > 0 for r in rows)
+
+
 def test_every_strategy_generates(spark):
     names = ["template", "variation", "distribution_aware", "edge_case", "adversarial", "combinatorial", "progressive", "cross_domain"]
     made = {s: [(x["id"], x["difficulty"]) for x in generation.cases(spark, 60, 3, s).collect()] for s in names}
