@@ -31,8 +31,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return set_by_cluster or tempfile.mkdtemp(prefix="verdigris-checkpoint-")
+    """The folder that the cluster names in ``spark.checkpoint.dir``, else the one given to
+    ``setCheckpointDir``. Only on one machine a folder is made where neither is set; on a cluster that is
+    an error, as executors could not read it."""
+    context = spark.sparkContext
+    named, given = context.getConf().get("spark.checkpoint.dir"), context._jsc.sc().getCheckpointDir()
+    if named or given.isDefined():
+        return named or given.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="verdigris-checkpoint-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what an operator wrote for itself in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
