@@ -1,17 +1,18 @@
-"""Benchmark decontamination with a broadcast hash set of test windows; built-in functions only.
+"""Benchmark decontamination with a hash set of test windows; built-in functions only.
 
 Each benchmark item's normalised words give its windows: every run of ten words, or the whole item
-where it has fewer. The distinct windows are broadcast as a hash relation. A document's windows, of
-the lengths that occur in the benchmark, are looked up in it; the lookup compares the windows
-themselves, so each hit is verified. What hits cover is then counted once per word, per document.
+where it has fewer. Their hashes set places in a table of bytes that every task has as a literal, of
+``MOST_PLACES`` bytes at most. A document's windows, of the lengths that occur in the benchmark, are hashed
+as they stand and looked up there; nothing else is made of the others. What is found is joined with the
+windows themselves, so each hit is verified. What hits cover is then counted once per word, per document.
 
-A benchmark is a bounded thing, but its size is checked: with more than ``MOST_BROADCAST`` windows the
-join is left to a shuffle on the window.
+The windows are broadcast up to ``MOST_BROADCAST`` bytes, which are counted first; beyond, the join is a
+shuffle of the windows that passed the table.
 
 Defined results: null and empty texts have no words and no hits; repeated rows are judged each; an
-item without words or a null text has no windows; a null item_id is the item named ``null``; an empty
-benchmark leaves all documents clean; long texts are read whole; extra columns pass through
-``drop_contaminated`` untouched.
+item without words or a null text has no windows; a null item_id is the item named ``null``, and one with
+that name is the same item; an empty benchmark leaves all documents clean; long texts are read whole; extra
+columns pass through ``drop_contaminated`` untouched.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import checkpoint
+
 WINDOW = 10
-MOST_BROADCAST = 2_000_000
+#: Bytes of windows, with their items, that are broadcast; and of the table that is looked up first.
+MOST_BROADCAST, MOST_PLACES = 64 << 20, 1 << 22
+#: Keys of contaminated documents that are broadcast.
+MOST_KEYS = 1_000_000
 #: All of ASCII but letters and digits.
 BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
@@ -43,18 +49,30 @@ def starts(n_words: Column, length: int) -> Column:
 
 
 def test_windows(benchmark: DataFrame) -> DataFrame:
-    """(window, length, items): each distinct window and the sorted names of the items it is in."""
+    """(hash, window, length, items): each distinct window and the sorted names of the items it is in."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("words"))
     sized = named.withColumn("n", F.size("words")).where("n > 0")
-    full = F.transform(starts(F.col("n"), WINDOW), lambda i: window_at(F.col("words"), i, WINDOW))
-    own = F.when(F.col("n") < WINDOW, F.array(F.concat_ws(" ", "words"))).otherwise(full)
+    full = F.transform(starts(F.col("n"), WINDOW), lambda i: F.slice("words", i, WINDOW))
+    own = F.when(F.col("n") < WINDOW, F.array("words")).otherwise(full)
     return (
-        sized.select("item", F.least("n", F.lit(WINDOW)).alias("length"), F.explode(own).alias("window"))
-        .groupBy("window", "length")
+        sized.select("item", F.least("n", F.lit(WINDOW)).alias("length"), F.explode(own).alias("run"))
+        .select("item", "length", F.xxhash64("run").alias("hash"), F.concat_ws(" ", "run").alias("window"))
+        .groupBy("hash", "window", "length")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
 
 
+def places(tests: DataFrame, windows: int) -> bytes:
+    """One byte for each place, 1 where some window's hash falls; eight places a window, if there is room."""
+    n = 1 << 10
+    while n < min(8 * windows, MOST_PLACES):
+        n *= 2
+    table = bytearray(n)
+    for at in tests.select(F.pmod("hash", F.lit(n)).cast("int").alias("at")).distinct().toArrow().column("at").to_pylist():
+        table[at] = 1
+    return bytes(table)
+
+
 def covered(hits: Column) -> Column:
     """Words inside the union of (pos, length) runs, sorted by pos."""
     step = lambda acc, h: F.struct(
@@ -67,22 +85,25 @@ def covered(hits: Column) -> Column:
 def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str]) -> DataFrame:
     """One row per row of ``docs``: the columns of ``carry``, n_words, n_hit, n_items, items_sha256,
     contaminated, and ``spans`` (the runs of hit words, as pos from 1 and length)."""
-    tests = test_windows(benchmark).persist()
-    found = tests.groupBy("length").count().collect()  # at most ten rows
-    lengths = sorted(r["length"] for r in found)
-    # the empty window stands for the document itself, so that each keeps a row
-    itself = tests.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items"))
-    lookup = tests.unionByName(itself)
-    if sum(r["count"] for r in found) <= MOST_BROADCAST:
+    tests = checkpoint(test_windows(benchmark))
+    held = F.octet_length("window") + F.aggregate("items", F.lit(64), lambda n, item: n + 32 + F.octet_length(item))
+    found = tests.groupBy("length").agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).collect()  # at most ten rows
+    table = places(tests, sum(r["n"] for r in found))
+    lookup = tests.select("window", "length", "items")
+    if sum(r["bytes"] for r in found) <= MOST_BROADCAST:
         lookup = F.broadcast(lookup)
     row = docs.select(*carry, F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words"))
     row = row.withColumn("n_words", F.size("words"))
-    at = lambda length: F.transform(
-        starts(F.col("n_words"), length), lambda i: F.struct(i.alias("pos"), window_at(F.col("words"), i, length).alias("window"))
-    )
-    own = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("window")))
-    spread = row.select(*carry, "row", "n_words", F.inline(F.concat(own, *map(at, lengths))))
-    hits = spread.join(lookup, "window")
+
+    def candidates(length: int) -> Column:
+        place = lambda i: F.pmod(F.xxhash64(F.slice("words", i, length)), F.lit(len(table)))
+        known = F.filter(starts(F.col("n_words"), length), lambda i: F.substr(F.lit(table), (place(i) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
+        return F.transform(known, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), window_at(F.col("words"), i, length).alias("window")))
+
+    # a document without candidates keeps a row, whose key is its own and no window's: keys of length 0 are none
+    own = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("length"), F.col("row").cast("string").alias("window")))
+    spread = row.select(*carry, "row", "n_words", F.inline(F.concat(own, *map(candidates, sorted(r["length"] for r in found)))))
+    hits = spread.join(lookup, ["window", "length"], "left").where("length = 0 OR items IS NOT NULL")
     run = F.when(F.col("length") > 0, F.struct("pos", "length"))
     judged = hits.groupBy("row", "n_words", *carry).agg(
         F.array_sort(F.collect_list(run)).alias("spans"),
@@ -106,9 +127,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns.
 
-    The rows themselves stay where they are read; what is shuffled is a key per contaminated one.
+    The keys of contaminated ones are counted; up to ``MOST_KEYS`` are broadcast, and the rows stay where
+    they are read. Beyond, both are shuffled by the key.
     """
-    key = [F.xxhash64("text").alias("_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id")]
+    key = [F.xxhash64("text").alias("_hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")]
     keyed = docs.select(F.struct("*").alias("_row"), *key, "text")
-    bad = judge(keyed.select("_hash", "_id", "text"), benchmark, ["_hash", "_id"]).where("contaminated").select("_hash", "_id").distinct()
+    bad = checkpoint(judge(keyed.select("_hash", "_id", "text"), benchmark, ["_hash", "_id"]).where("contaminated").select("_hash", "_id").distinct())
+    if bad.count() <= MOST_KEYS:
+        bad = F.broadcast(bad)
     return keyed.join(bad, ["_hash", "_id"], "left_anti").select("_row.*")
