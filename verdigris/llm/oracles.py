@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from verdigris.llm.url_filter import TWO_LABEL_SUFFIXES
+
 DECONTAMINATION = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -37,15 +39,19 @@ WITH p AS (
   FROM (SELECT host, CAST(nullif(regexp_extract(path, '/(\d{1,18})', 1), '') AS BIGINT) AS doc_id FROM seen)
   JOIN (SELECT doc_id, max(CAST(toxic = 1 OR quality = 0 AS INT)) AS bad FROM labels GROUP BY doc_id) USING (doc_id)
   WHERE bad IS NOT NULL
+), named AS (
+  SELECT host, bare, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS two, regexp_matches(bare, '^\d+\.\d+\.\d+\.\d+$|^\[') AS address
+  FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM seen)
 ), h AS (
-  SELECT host, count(*) AS n, sum(bad) AS bad,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
-  FROM outcome GROUP BY host
+  SELECT host, coalesce(n, 0) AS n, coalesce(o.bad, 0) AS bad,
+         CASE WHEN address THEN bare WHEN two IN (TWO_LABEL_SUFFIXES) THEN array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN address THEN bare WHEN two IN (TWO_LABEL_SUFFIXES) THEN two ELSE list_extract(string_split(bare, '.'), -1) END AS suffix
+  FROM named LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM outcome GROUP BY host) o USING (host)
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 t AS (
   SELECT lvl, sum(n)::DOUBLE AS nn, sum(bad)::DOUBLE AS bb, count(*)::DOUBLE AS g, sum(n * n)::DOUBLE AS q, sum(bad::DOUBLE * bad / n) AS ss
-  FROM (SELECT 'h' AS lvl, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s) GROUP BY lvl
+  FROM (SELECT 'h' AS lvl, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s) WHERE n > 0 GROUP BY lvl
 ), m AS (SELECT *, (bb + 0.5) / (nn + 1) AS m FROM t),
 v AS (SELECT *, ss - 2 * m * bb + m * m * nn - m * (1 - m) * (g - 1) AS beyond, m * (1 - m) * (nn - q / nn - (g - 1)) AS room FROM m),
 k AS (SELECT lvl, m, CASE WHEN g > 1 AND room > 0 AND beyond / room > 0 THEN greatest(2.0, least(1000.0, room / beyond - 1)) ELSE 1000.0 END AS k FROM v),
@@ -60,4 +66,4 @@ fit AS (
 )
 SELECT seen.page_id, seen.host, seen.path, fit.rule, coalesce(fit.said, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen LEFT JOIN fit USING (page_id) LEFT JOIN blocked ON seen.host = blocked.host
-"""
+""".replace("TWO_LABEL_SUFFIXES", ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES))

@@ -76,14 +76,27 @@ def longest_rule(rules: tuple[Rule, ...], host: Column, path: Column, value) ->
     return chosen
 
 
+def bare(host: Column) -> Column:
+    """The host without a user's name before it and a port after it."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^\d+\.\d+\.\d+\.\d+$|^\[")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    """The public suffix; a numeric address is its own."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The registered domain: one label more than the suffix; a numeric address is its own."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def strength(groups: DataFrame) -> DataFrame:
