@@ -5,7 +5,8 @@ composite density: characters per tag, lowered the more of the characters and ta
 (Sun, Song and Liao 2011). A node's density sum adds its children's densities. The node with the
 largest sum below the body is where the article is; the least density on its path to the body is the
 threshold. From the body down, a node that reaches the threshold yields the subtree with the largest
-density sum in it; the nodes above are searched further down.
+density sum in it; the nodes above are searched further down. A block of text that is found stands for
+the element that holds it, and what is found in an article element for that element.
 
 What is something else than the article by its tag (menus, asides, footers and so on) or hidden has no
 part in the densities or the text. Nor have forms and what is named as something else by class, id, role
@@ -40,6 +41,7 @@ HINT = re.compile(r"(?i)\s(?:class|id|role|hidden|style|aria-hidden|itemtype)\b"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 NOT_ARTICLE = frozenset("nav aside footer menu dialog button select option input label canvas svg math audio video object applet head".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption br hr address center".split())
 FORMS = frozenset("form fieldset".split())
 WHOLE = frozenset("html body article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -132,7 +134,7 @@ def parse(page: str) -> Node:
         here.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        inside = any(n.tag in ("article", "main") for n in ancestors(here))
+        inside = tag != "header" or any(n.tag in ("article", "main") for n in ancestors(here))  # asked of headers only
         if is_other(tag, m[3], inside):
             here.children.pop()
             if tag not in INLINE:  # what stands before and after it are two blocks still
@@ -246,13 +248,10 @@ def weigh(root: Node) -> list[Node]:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order.
-
-    Where the largest sum is in an article element, the outermost such element is it, headings
-    included, after the h1 that stand before it in its main element. If there are more articles beside
-    it, the search starts at their parent. Without an article element the search starts at the body, or
-    at the main element that the sum is in. Articles that the search marks are whole.
-    """
+    """The subtrees that hold the article, in page order: what the densities mark below the body, or below
+    the main element that the largest sum is in. A marked block of text (a paragraph, a list, a heading)
+    stands for the element that holds it, and what is marked in an article element for that element. Where
+    the largest sum is in an article element, what is marked outside such elements doesn't count."""
     nodes = weigh(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if not body.chars:
@@ -261,23 +260,23 @@ def main_nodes(root: Node) -> list[Node]:
     top = max(below, key=lambda n: n.sum)
     path = [n for n in ancestors(top) if within(n, body)]
     threshold = min(n.density for n in path)
-    named = next((n for n in reversed(path) if n.tag == "article"), None)
-    start = whole = next((n for n in reversed(path) if n.tag == "main"), body)
-    if named is not None:
-        start = named.parent
-        if sum(isinstance(c, Node) and c.tag == "article" and c.chars > 0 for c in start.children) == 1:
-            return titled([named], whole)
+    whole = next((n for n in reversed(path) if n.tag == "main"), body)
     best: dict[int, Node] = {}
     for node in reversed(below):  # the largest sum in each subtree
         best[id(node)] = max([node, *(best[id(c)] for c in node.children if isinstance(c, Node))], key=lambda n: n.sum)
-    marked = {id(named)} if named is not None else set()
-    stack = [start]
+    marked: dict[int, Node] = {}
+    stack = [whole]
     while stack:
         node = stack.pop()
         if node.chars and node.density >= threshold:
-            marked.add(id(node if node.tag == "article" else best[id(node)]))
+            chosen = holder(best[id(node)], whole)
+            marked[id(chosen)] = chosen
             stack.extend(c for c in node.children if isinstance(c, Node) and id(node) not in marked)
-    found, stack = [], [start]
+    if top_article := any(n.tag == "article" for n in path):
+        marked = {k: n for k, n in marked.items() if n.tag == "article" or n is whole}
+    if whole.tag != "main" and id(whole) in marked and (len(marked) > 1 or top_article):
+        del marked[id(whole)]  # text that stands in the body itself, beside what holds the article
+    found, stack = [], [whole]
     while stack:  # the topmost marked ones, in page order
         node = stack.pop()
         if id(node) in marked:
@@ -287,6 +286,18 @@ def main_nodes(root: Node) -> list[Node]:
     return titled(found, whole)
 
 
+def holder(node: Node, whole: Node) -> Node:
+    """The element that a marked node stands for, not above ``whole``: the outermost article around it, else
+    the nearest element that is no block of text."""
+    path = []
+    for n in ancestors(node):
+        path.append(n)
+        if n is whole:
+            break
+    article = next((n for n in reversed(path) if n.tag == "article"), None)
+    return article or next((n for n in path if n.tag not in TEXT_BLOCKS and n.tag not in INLINE), path[-1])
+
+
 def titled(found: list[Node], whole: Node) -> list[Node]:
     """Articles, after the h1 that stand before the first of them in their main element."""
     if whole.tag != "main" or not any(n.tag == "article" for f in found for n in in_order(f)):
