@@ -37,7 +37,8 @@ FIRST_BITS = np.uint64(48)
 NONE = np.uint64((1 << 64) - 1)
 WORD = re.compile(r"[^\W_]+")
 
-#: Short forms of public licences' notices, as they stand in texts and sources.
+#: Short forms of public licences' notices, as they stand in texts and sources, and whole texts
+#: of the shorter licences (without the lines of their holders).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -50,6 +51,12 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under the Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA": "Licensed under the Creative Commons Attribution-ShareAlike License.",
+    "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense notice": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
 }
 
 
@@ -104,7 +111,7 @@ class Scanner:
         self.room = max(self.lengths, default=0) + SHINGLE
         self.bands = {}
         for m, members in self.lengths.items():
-            keys = np.concatenate([self.keys(self.minima(self.hash(words(templates[self.names[t]])), [m])[m][:1]) for t in members])
+            keys = np.concatenate([self.keys(self.minima(self.hash(words(templates[self.names[t]])), {m: np.zeros(1, int)})[m]) for t in members])
             flat, owner = keys.ravel(), np.repeat(members, keys.shape[1])
             order = np.argsort(flat, kind="stable")
             some = np.zeros(1 << 16, bool)
@@ -114,19 +121,19 @@ class Scanner:
     def hash(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.cache.__getitem__, found), np.uint64, len(found))
 
-    def minima(self, hashes: np.ndarray, lengths, left: np.ndarray | None = None) -> dict[int, np.ndarray]:
-        """For each window length m (in shingles), the HASHES minima of each window, by its start. With
+    def minima(self, hashes: np.ndarray, starts: dict[int, np.ndarray], left: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """For each window length m (in shingles), the HASHES minima of the windows at ``starts[m]``. With
         ``left``, the words from each place to its document's end, shingles beyond an end count for nothing."""
         base = shingle_hashes(hashes)
         run, size, out = mixed(base[:, None] ^ SALTS), 1, {}
         if left is not None:
             run[left[: len(base)] < SHINGLE] = NONE
-        for m in sorted(lengths):
+        for m in sorted(starts):
             while 2 * size <= m and len(run) > size:
                 run, size = np.minimum(run[:-size], run[size:]), 2 * size
-            rest = m - size
             if len(base) >= m:
-                out[m] = np.minimum(run[: len(run) - rest], run[rest:]) if rest else run
+                at = starts[m][starts[m] <= len(base) - m]
+                out[m] = np.minimum(run[at], run[at + m - size])
         return out
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
@@ -141,9 +148,11 @@ class Scanner:
         """(start, windows' length in shingles, template) where a band agrees; ``at``: each place's number
         in its document."""
         found = set()
-        for m, minima in self.minima(hashes, self.lengths, left).items():
-            starts = np.flatnonzero((left >= SHINGLE) & (at % max(1, m // 8) == 0))
-            keys, (some, known, owner) = self.keys(minima[starts]), self.bands[m]
+        inside = np.flatnonzero(left >= SHINGLE)
+        starts_of = {m: inside[at[inside] % max(1, m // 8) == 0] for m in self.lengths}
+        for m, minima in self.minima(hashes, starts_of, left).items():
+            starts, (some, known, owner) = starts_of[m], self.bands[m]
+            keys = self.keys(minima)
             window, band = np.nonzero(some[keys >> FIRST_BITS])
             key = keys[window, band]
             low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
