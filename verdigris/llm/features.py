@@ -34,7 +34,7 @@ def words(text: str) -> list[str]:
 def shape(token: str) -> str:
     """The token with each run of letters or digits reduced to one sign: ``The,`` is ``Aa,``."""
     out = []
-    for ch in token[:64]:
+    for ch in token:
         kind = "0" if ch.isdigit() else "A" if ch.isupper() else "a" if ch.isalpha() else ch
         if not out or out[-1] != kind:
             out.append(kind)
@@ -65,12 +65,18 @@ def features_udf(tokens: Callable[[str], list[str]]):
     return features
 
 
+def one_text(sample: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of the ``keys``, with the least of its texts: rows that repeat an id don't add to
+    what is trained on, however many there are."""
+    return sample.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def training_matrix(
     sample: DataFrame, tokens: Callable[[str], list[str]], columns: int, least: int, rank
 ) -> tuple[np.ndarray, pd.DataFrame, np.ndarray]:
     """(hashed features chosen, the rows' other columns, dense counts of rows by features).
 
-    ``sample`` has ``text`` and ``cls`` (0 or 1) and is of bounded size. ``rank(df0, df1, n0, n1)``
+    ``sample`` has ``text`` and ``cls`` (0 or 1) and, after ``one_text``, is of bounded size. ``rank(df0, df1, n0, n1)``
     scores features by their document frequencies in the classes; the best ``columns`` with at
     least ``least`` documents are used. Ties go to the smaller hash.
     """

@@ -74,12 +74,12 @@ def fit_lsa(counts: np.ndarray, rank: int, seed: int) -> tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on at most ``labelled`` labelled documents outside the held-out fold."""
+    """Fit on at most ``labelled`` labelled documents outside the held-out fold; of rows with one id, on the least text."""
     s = settings
     known = labels.where(~held_out("doc_id") & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     ids = sample_ids(known, "doc_id", s.labelled, s.seed)
     votes = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("quality").cast("int").alias("cls"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(votes), "doc_id")
+    sample = features.one_text(docs.select("doc_id", "text").join(F.broadcast(votes), "doc_id"), ["doc_id", "cls"])
     chosen, rows, x = features.training_matrix(
         sample, features.words_and_shapes, s.columns, s.least_documents, lambda df0, df1, n0, n1: df0 + df1
     )

@@ -1,8 +1,9 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
-Only confirmed toxic examples count as labels. Everything else is unlabelled: a sample of all text
-outside the held-out fold, toxic documents among it. With the class prior pi and a loss l, the
-risk of a classifier g is estimated as
+Only confirmed toxic examples count as labels. Everything else is unlabelled: a sample of the documents
+that somebody has looked at (rows of ``labels`` outside the held-out fold, toxic ones among them, their
+labels not read). The share of toxic rows there is the class prior pi. With it and a loss l, the risk of a
+classifier g is estimated as
 
     pi * mean_P l(g, 1)  +  max(0,  mean_U l(g, 0) - pi * mean_P l(g, 0))
 
@@ -90,15 +91,16 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, s: Settings) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on at most ``positives`` confirmed toxic and ``unlabelled`` other sampled documents, all
-    outside the held-out fold. The prior is the share of toxic rows among all its labels."""
+    """Fit on at most ``positives`` confirmed toxic and ``unlabelled`` other documents, all from rows of
+    ``labels`` outside the held-out fold. The prior is the share of toxic rows among all its labels. Of rows
+    with one id, the least text is used."""
     s = settings
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     toxic = sample_ids(known.where("toxic = 1"), "doc_id", s.positives, s.seed).withColumn("cls", F.lit(1))
-    other = sample_ids(docs.where(~held_out("doc_id")), "doc_id", s.unlabelled, s.seed + 1).withColumn("cls", F.lit(0))
+    other = sample_ids(labels.where(~held_out("doc_id")), "doc_id", s.unlabelled, s.seed + 1).withColumn("cls", F.lit(0))
     ids = toxic.unionByName(other)  # a toxic document may be in the unlabelled sample too, as the estimator asks
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = features.one_text(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["doc_id", "cls"])
     chosen, rows, x = features.training_matrix(sample, features.words, s.columns, s.least_documents, divergence)
     positive = rows["cls"].to_numpy() == 1
     if not prior or not positive.any() or positive.all():
