@@ -51,6 +51,10 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE file without normalizer and prefix space is expected")
+        flags = [f for f in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback") if model.get(f)]
+        flags += [f for t in spec.get("added_tokens", []) for f in ("single_word", "lstrip", "rstrip") if t.get(f)]
+        if flags:
+            raise ValueError(f"what the file asks for is not made here: {sorted(set(flags))}")
         letters = byte_letters()
         raw = lambda token: bytes(letters[ch] for ch in token)
         self.id_of = {raw(token): i for token, i in model["vocab"].items()}

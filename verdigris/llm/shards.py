@@ -78,9 +78,11 @@ def equal_sizes(rows: int, shards: int) -> list[int]:
 
 
 def shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``. They should be narrow: they are checkpointed and sorted twice."""
+    """``rows`` with ``shard`` and ``slot``, whatever other columns they have. They should be narrow: they are checkpointed and sorted twice."""
+    if taken := {"shard", "slot"} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"rows have columns of these names already: {sorted(taken)}")
     spark = rows.sparkSession
-    fixed = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+    fixed = checkpoint(rows.select(F.struct("*").alias("_in"), F.monotonically_increasing_id().alias("_row")))
     n = fixed.count()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_IN_PIECE))
     fixed = fixed.withColumns({"_part": F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(parts)).cast("int"), "_a": F.xxhash64(F.lit(seed + 1), "_row")})
@@ -108,7 +110,7 @@ def shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
         sums[r["shard"]] = sums.get(r["shard"], 0) + r["count"]
     first = F.broadcast(spark.createDataFrame(starts, "shard int, _piece int, _start long"))
     within = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_b", "_row"))
-    return dealt.withColumn("slot", within).join(first, ["shard", "_piece"]).withColumn("slot", F.col("_start") + F.col("slot") - 1).drop("_piece", "_b", "_start", "_row")
+    return dealt.withColumn("slot", within).join(first, ["shard", "_piece"]).withColumn("slot", F.col("_start") + F.col("slot") - 1).select("_in.*", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
