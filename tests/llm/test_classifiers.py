@@ -59,6 +59,36 @@ def test_risk_on_negatives_is_kept_from_falling_below_zero():
     assert ((x[:260] @ w + b) > 0).mean() > 0.9 and ((x[260:] @ w + b) > 0).mean() < 0.1
 
 
+def test_gradient_is_that_of_the_stated_risk():
+    """One small step of the fit goes down the risk that the docstring states, written out here."""
+    rng = np.random.default_rng(4)
+    x, positive, prior = rng.poisson(1.0, (400, 6)).astype(np.float32), np.arange(400) < 90, 0.2
+    x[positive, 0] += 2
+
+    def risk(w, b):
+        zp, zu = x[positive] @ w + b, x[~positive] @ w + b
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+    fitted = [toxicity.fit_nnpu(x, positive, prior, toxicity.Settings(steps=k, decay=0.0)) for k in (1, 20, 300)]
+    values = [risk(np.zeros(6), np.log(prior / (1 - prior))), *(risk(*f) for f in fitted)]
+    assert values == sorted(values, reverse=True)
+    scale = np.maximum(x.std(axis=0), 1e-3) ** 0.5
+    base = np.append(np.zeros(6), np.log(prior / (1 - prior)))
+    slope = np.array([(risk((base + d)[:6] / scale, (base + d)[6]) - risk((base - d)[:6] / scale, (base - d)[6])) / 2e-4 for d in np.eye(7) * 1e-4])
+    moved = np.append(fitted[0][0] * scale, fitted[0][1]) - base
+    # the first step, against numeric slopes of that risk; the intercept begins where its slope is 0
+    assert (np.sign(moved[:6]) == -np.sign(slope[:6])).all() and abs(slope[6]) < 1e-6
+
+
+def test_repeated_labelled_ids_are_one_example(spark, tables):
+    docs, labels = tables
+    some = docs.where("doc_id < 40")
+    again = docs.unionByName(some).unionByName(some).unionByName(some.withColumn("text", F.lit("zzz")))
+    for train in (toxicity.train, quality.train):
+        one, many = train(docs, labels), train(again, labels)
+        assert np.array_equal(one.chosen, many.chosen)
+
+
 def test_quality_on_the_held_out_fold(spark, tables):
     docs, labels = tables
     judge = quality.score_udf(quality.train(docs, labels), spark)
@@ -104,4 +134,4 @@ def test_token_cache_is_bounded():
 
 
 def test_shapes():
-    assert features.shape("The,") == "Aa," and features.shape("%%%") == "%" and features.words_and_shapes("a a")[-1] == "\x00again"
+    assert features.shape("The,") == "Aa," and features.shape("%%%") == "%" and features.shape("a" * 100 + "1") == "a0" and features.words_and_shapes("a a")[-1] == "\x00again"

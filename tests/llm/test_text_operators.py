@@ -138,6 +138,20 @@ def test_decontamination(spark):
     kept = decontaminate.drop_contaminated(texts(spark, rows), bench)
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, t in rows if not brute_decontamination(t, items)[-1])
     assert decontaminate.report(texts(spark, rows), bench.where("false")).where("contaminated").count() == 0
+    assert decontaminate.report(texts(spark, rows[:0]), bench).count() == 0
+
+
+@pytest.mark.parametrize("name,bound", [("MOST_BROADCAST", 0), ("MOST_PLACES", 8), ("MOST_KEYS", 0)])
+def test_decontamination_beyond_its_bounds(spark, monkeypatch, name, bound):
+    """What is too large to broadcast is shuffled, and a full table only lets more through: same results."""
+    items = [(k, " ".join(f"k{i * k}" for i in range(14))) for k in range(1, 40)]
+    rows = list(enumerate(random_texts(30, 8))) + [(100 + k, f"a {t} b") for k, t in items[::3]] + [(None, None), (7, "12")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, name, bound)
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate.report(texts(spark, rows), bench).collect())
+    assert got == Counter((i, *brute_decontamination(t, items)) for i, t in rows)
+    kept = decontaminate.drop_contaminated(texts(spark, rows), bench)
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, t in rows if not brute_decontamination(t, items)[-1])
 
 
 # op6
@@ -161,6 +175,24 @@ def test_encoded_table(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and got[i]["n_tokens"] * 4 == len(got[i]["ids"])
 
 
+def test_flags_that_are_not_made_are_refused():
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in (lambda s: s["model"].update(ignore_merges=True), lambda s: s["added_tokens"][0].update(lstrip=True)):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(other))
+
+
+def test_encoding_of_repeated_rows_and_none(spark):
+    path, rows = public_tokenizers.path("byte_bpe_50k.json"), [(1, "a b"), (1, "a b"), (None, "a b")]
+    got = bpe.encode(texts(spark, rows), path).collect()
+    assert len(got) == 3 and len({r["ids_sha256"] for r in got}) == 1
+    assert bpe.encode(texts(spark, rows[:0]), path).count() == 0
+
+
 # op7
 
 
@@ -195,6 +227,18 @@ def test_hosts_without_outcomes_have_the_rate_above_them(spark):
     assert verdict == {h: "block" if r[h]["lower"] > url_filter.MOST_BAD else "allow" for h in verdict}
 
 
+def test_urls_that_repeat_and_none(spark):
+    pages = spark.createDataFrame([(1, "x://a.b/c")] * 3, "page_id long, url string")
+    outcomes = spark.createDataFrame([], "host string, bad int")
+    assert url_filter.judge(pages, outcomes).count() == 3 and url_filter.judge(pages.where("false"), outcomes).count() == 0
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "u:p@x.Y.com:8080": ("Y.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "com": ("com", "com"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s"))
+    assert {r["host"]: (r["d"], r["s"]) for r in rows.collect()} == hosts
+
+
 # op3
 
 
@@ -249,6 +293,12 @@ def test_templates_of_few_words_are_looked_up():
     assert found == [(0, "U", 1.0, 1, 2), (5, "P", 1.0, 2, 2), (6, "F", 1.0, 0, 1)]
 
 
+def test_licenses_of_repeated_rows_and_none(spark):
+    notice = licenses.TEMPLATES["MIT"]
+    assert licenses.scan(texts(spark, [(1, notice), (1, notice), (None, notice)])).count() == 3
+    assert licenses.scan(texts(spark, [])).count() == 0 and licenses.scan(texts(spark, [(1, notice)]), {}).count() == 0
+
+
 # op8
 
 
@@ -285,6 +335,32 @@ def test_repeated_queries_are_one_and_texts_of_one_id_are_ranked_apart(spark):
     assert ranked(one.union(other).union(one)) == sorted(first + second, key=str)
 
 
+def test_queries_without_id_strings_and_empty_tables(spark):
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(random_texts(50, 41))] + [(None, "aa bb cc aa")], "doc_id string, text string")
+    found = bm25.top_k(docs, docs.where("doc_id IS NULL OR doc_id = 'd7'"), 3).collect()
+    assert {r["query_id"] for r in found} <= {None, "d7"} and [r["doc_id"] for r in found if r["query_id"] is None and r["rank"] == 1] == [None]
+    assert bm25.top_k(docs, docs.where("false")).count() == 0 and bm25.top_k(docs.where("false"), docs).count() == 0
+
+
+def test_common_terms_are_pruned_without_loss(monkeypatch):
+    """A shard's results are those of scoring everything, whatever counts as common and however large blocks are."""
+    rng = np.random.default_rng(3)
+    docs = [np.unique(rng.zipf(1.3, rng.integers(5, 120)) % 400, return_counts=True) for _ in range(700)]
+    lists = {c: np.frombuffer(raw, bm25.LISTS[c]) for c, raw in bm25.invert([t for t, _ in docs], [c for _, c in docs]).items()}
+    average = float(np.mean([c.sum() for _, c in docs]))
+    weight = rng.random(400) + 0.1
+    asked = docs[::35]
+    terms, owner = np.concatenate([t for t, _ in asked]), np.repeat(np.arange(len(asked)), [len(t) for t, _ in asked])
+    for share, most, block in ((16, 1024, 4), (2, 1024, 64), (700, 20, 1), (1, 1, 7)):
+        for name, value in (("COMMON_SHARE", share), ("MOST_COMMON", most), ("BLOCK", block), ("QUERIES_AT_ONCE", 7)):
+            monkeypatch.setattr(bm25, name, value)
+        found = {q: (d.tolist(), s) for q, d, s in bm25.Shard.load(lists, average).search(terms, weight[terms], owner, len(asked), np.zeros(len(asked)), 10)}
+        for q, (t, _) in enumerate(asked):
+            scores = np.array([sum(weight[x] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / average)) for x, n in zip(d, c) if x in set(t)) for d, c in docs])
+            best = np.lexsort((np.arange(700), -scores.round(9)))[:10]
+            assert np.allclose(found[q][1], scores[best]) and found[q][0] == best.tolist()
+
+
 # op9
 
 
@@ -299,6 +375,24 @@ def test_shards_have_exact_sizes_and_gapless_slots(spark, n):
     assert {(r["size"], r["text_crc32"]) for r in got} <= {(1, 0), (3, zlib.crc32("é".encode()))}
 
 
+def test_shards_keep_other_columns_and_refuse_their_own(spark):
+    rows = spark.range(50).select("id", *[F.lit(k).alias(c) for k, c in enumerate(("_row", "_part", "_k", "_piece", "_in", "_a", "_b"))])
+    got = shards.shuffle(rows).collect()
+    assert sorted(r["id"] for r in got) == list(range(50)) and all((r["_row"], r["_part"], r["_k"], r["_piece"], r["_in"]) == (0, 1, 2, 3, 4) for r in got)
+    with pytest.raises(ValueError):
+        shards.shuffle(rows.withColumn("Slot", F.lit(1)))
+
+
+def test_shuffles_are_uniform(spark):
+    """Over many seeds each row comes to each shard, and to each half of it, about as often as to any other."""
+    rows = spark.range(16)
+    seen = np.zeros((16, 4, 2))
+    for seed in range(60):
+        for r in shards.shuffle(rows, 4, seed).collect():
+            seen[r["id"], r["shard"], int(r["slot"] >= 2)] += 1
+    assert (np.abs(seen.sum(axis=2) - 15) < 4.5 * np.sqrt(15 * 0.75)).all() and (np.abs(seen - 7.5) < 5 * np.sqrt(7.5)).all()
+
+
 def test_matrix_and_draws():
     parts = [30, 0, 50, 21]
     m = shards.communication_matrix(parts, shards.equal_sizes(sum(parts), 8), 3)
@@ -351,11 +445,26 @@ def test_text_beside_the_article_element():
     assert html_text.main_text(f"<body><main><h1>Title</h1><div><article>{LONG}</article><article>{LONG}</article></div></main>") == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
 
 
+def test_densities_choose_without_article_elements():
+    """Pages of many shapes give one text, with the article element and with a plain div in its place."""
+    rng = random.Random(13)
+    for k in range(60):
+        paragraphs = ["".join(f"<p>{t}.</p>" if rng.random() < 0.8 else f"<h2>{t}</h2>" for t in random_texts(rng.randrange(2, 9), 50 + k, 60) if t)] * rng.randrange(1, 3)
+        links = "".join(f"<li><a href='/{i}'>go {i}</a></li>" for i in range(rng.randrange(3, 20)))
+        page = f"<body><nav><ul>{links}</ul></nav><div class='wrap'><article><h1>A title of it</h1>{''.join(paragraphs)}</article></div><div><ul>{links}</ul></div><footer>Foot</footer></body>"
+        assert html_text.main_text(page) == html_text.main_text(page.replace("article>", "div>")) != ""
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("   ", ""), ("<br>", ""), ("<!-- x", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("<script>x", ""), ("</p></div>x", "x"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_pages_that_repeat_and_none(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a")] * 3, "page_id long, url string, html string")
+    assert html_text.extract(pages).count() == 3 and html_text.extract(pages.where("false")).count() == 0
+
+
 def test_extracted_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
