@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: five stages over ``documents``, each written before the next reads it."""
+"""The training-corpus pipeline: five stages over ``documents``, each written before the next reads it.
+
+Defined results: a null or empty text is judged by the classifiers as one without features, is one group of
+near duplicates with its like, has no benchmark passage, and encodes to no tokens; repeated rows are near
+duplicates, of which one stays; rows without an id stay last in their group; long texts are read whole; all
+columns, whatever their names, pass through to the last stage; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import bpe, decontaminate, quality, simhash, toxicity
-from verdigris.llm.common import shared_dir, table
+from verdigris.llm.common import remove, shared_dir, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +51,17 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: The classifiers and the index are beyond SQL; the stages are tested against brute force.
+#: The classifiers and the index are beyond SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. What the stages before it wrote is deleted as soon as the next one is written."""
+    docs, at, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, f"{at}/{before}")
+        before = name
     return docs
