@@ -6,7 +6,8 @@
 
 Values are counted before they are shuffled, and a running count over each group's distinct values
 finds the ranks, so no group is ever collected into a list. What a task sorts for a group are its distinct
-values, which for durations in whole milliseconds are bounded, however many rows there are.
+values, which for durations in whole milliseconds are bounded, however many rows there are. Where the whole
+table is the group, it is sorted range by range, whatever its values.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.running import running_sum
+
 
 def _at(kind: str, p: float, n: Column) -> tuple[Column, Column]:
     """The first and last rank (from 1) that the percentile is the mean of."""
@@ -39,10 +42,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: Mapping[str,
     Null values are left out; a group without values has no row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    one = keys or [F.lit(0)]
-    ordered = Window.partitionBy(*one).orderBy("_v")
-    ranked = counts.withColumn("_upto", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*one)))
+    if keys:
+        ordered = Window.partitionBy(*keys).orderBy("_v")
+        ranked = counts.withColumn("_upto", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    else:  # a whole table is summed up range by range
+        ranked = running_sum(counts, "_v", F.col("_c"), "_upto").crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))
     out = []
     for name, (kind, p) in wanted.items():
         low, high = _at(kind, p, F.col("_n"))

@@ -123,10 +123,12 @@ def with_word_error_rate(df: DataFrame, reference: str, hypothesis: str, into: s
 
 
 def _letter(k: Column) -> Column:
-    """The k-th letter from U+4E00 on, for k up to 20,000."""
-    code = k + 0x4E00
-    units = [F.shiftright(code, 8), code.bitwiseAND(F.lit(255))]
-    return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(u), 2, "0") for u in units])), "UTF-16BE")
+    """The k-th letter from U+10000 on, beyond the surrogates: for k up to a million, more words than a pair of texts of
+    20 MB can have. As UTF-8, which four bytes are for all of them."""
+    code = k + 0x10000
+    low = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
+    units = [F.shiftright(code, 18).bitwiseOR(F.lit(240)), low(12), low(6), low(0)]
+    return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(u), 2, "0") for u in units])), "UTF-8")
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
 
+#: The outputs of a prompt whose pairs are compared.
+MOST_OUTPUTS = 1_000
+
 
 def pairs(outputs: DataFrame) -> DataFrame:
-    """Each pair of a group once, i before j."""
+    """Each pair of a group once, i before j; groups of over ``MOST_OUTPUTS`` outputs are refused."""
+    largest = outputs.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_OUTPUTS:
+        raise ValueError(f"a group of {largest} outputs; pairs are made of at most {MOST_OUTPUTS}")
     a = outputs.select("group_id", F.col("ordinal").alias("i"), F.col("content").alias("a"))
     b = outputs.select("group_id", F.col("ordinal").alias("j"), F.col("content").alias("b"))
     return a.join(b, "group_id").where("i < j")
@@ -41,21 +47,20 @@ def group_jaccard(outputs: DataFrame) -> DataFrame:
 
 
 def tfidf_cosine(outputs: DataFrame) -> DataFrame:
-    """Mean cosine of tf-idf vectors over a group's pairs, idf = ln((N + 1) / (df + 1)) + 1. Only
-    pairs that share a word are joined; the others add 0 to the mean."""
+    """Mean cosine of tf-idf vectors over a group's pairs, idf = ln((N + 1) / (df + 1)) + 1. No pair is made: the square
+    of the sum of m unit vectors is m and twice the sum of their pairs' cosines. Outputs without words add 0."""
     words = outputs.select("group_id", "ordinal", X.words_by_space(F.col("content")).alias("w")).withColumn("length", F.size("w"))
-    sizes = outputs.groupBy("group_id").agg(F.count("*").alias("n"))
+    sizes = words.groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.col("length") > 0).alias("m"))
     tf = words.select("group_id", "ordinal", "length", F.explode("w").alias("word")).groupBy("group_id", "ordinal", "length", "word").agg(F.count("*").alias("c"))
-    df = tf.groupBy("group_id", "word").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, ["group_id", "word"]).join(sizes, "group_id").select(
+    of_word = Window.partitionBy("group_id", "word")
+    weighed = tf.withColumn("df", F.count("*").over(of_word)).join(sizes.select("group_id", "n"), "group_id").select(
         "group_id", "ordinal", "word", (F.col("c") / F.col("length") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("x")
     )
     norms = weighed.groupBy("group_id", "ordinal").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = weighed.join(norms, ["group_id", "ordinal"]).select("group_id", "ordinal", "word", (F.col("x") / F.col("norm")).alias("x"))
-    other = unit.select("group_id", "word", F.col("ordinal").alias("j"), F.col("x").alias("y"))
-    shared = unit.join(other, ["group_id", "word"]).where("ordinal < j").groupBy("group_id").agg(F.sum(F.col("x") * F.col("y")).alias("total"))
-    possible = F.col("n") * (F.col("n") - 1) / 2
-    return sizes.join(shared, "group_id", "left").select("group_id", F.round(F.when(possible > 0, F.coalesce("total", F.lit(0.0)) / possible).otherwise(1.0), 6).alias("cosine"))
+    total = weighed.join(norms, ["group_id", "ordinal"]).groupBy("group_id", "word").agg(F.sum(F.col("x") / F.col("norm")).alias("s"))
+    square = total.groupBy("group_id").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    mean = (F.coalesce("square", F.lit(0.0)) - F.col("m")) / (F.col("n") * (F.col("n") - 1))
+    return sizes.join(square, "group_id", "left").select("group_id", F.round(F.when(F.col("n") > 1, F.greatest(F.lit(0.0), mean)).otherwise(1.0), 6).alias("cosine"))
 
 
 def spread(outputs: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ come from partial aggregates; no group's values are collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import stats
+from verdigris.functions.running import running_sum
 
 ALPHA = 0.05
 
@@ -46,8 +47,7 @@ def mann_whitney(values: DataFrame, side: str, first, second, value: str) -> Dat
     counts = values.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.count("*").alias("c"), F.count_if(F.col(side) == first).alias("c1")
     )
-    before = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    ranked = counts.withColumn("rank", before + (F.col("c") + 1) / 2)
+    ranked = running_sum(counts, "v", F.col("c"), "upto").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     t = ranked.agg(F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum("c1").cast("double").alias("n1"), F.sum(F.col("c") - F.col("c1")).cast("double").alias("n2"))
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     t = t.withColumn("u", F.least(u1, F.col("n1") * F.col("n2") - u1))

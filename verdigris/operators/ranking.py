@@ -1,15 +1,22 @@
 """Ranking, routing and cost advice over models.
 
 A model row has: ordinal, provider, model, success, faithfulness, relevance, coherence (null where not
-evaluated), latency_ms, cost. Whole-table extremes are aggregates that are broadcast as one row, so
-only the final numbering sorts.
+evaluated), latency_ms, cost. Whole-table extremes are aggregates that are broadcast as one row;
+the final numbering sorts
+range by range.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.running import running_sum
+
 #: Weights of the evaluation scores, and of the parts of the overall score.
 QUALITY = {"faithfulness": 0.4, "relevance": 0.3, "coherence": 0.3}
 OVERALL = {"quality": 0.6, "performance": 0.2, "cost_efficiency": 0.2}
@@ -46,8 +53,8 @@ def scored(models: DataFrame, weights: dict[str, float] = OVERALL) -> DataFrame:
 
 def ranked(models: DataFrame, weights: dict[str, float] = OVERALL) -> DataFrame:
     """Rank 1 is the best; equal scores keep the order of ``ordinal``."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("overall", 9)), "ordinal")
-    return scored(models, weights).withColumn("rank", F.row_number().over(order))
+    down = scored(models, weights).withColumn("_down", -F.round("overall", 9))
+    return running_sum(down, "_down", F.lit(1), "rank", F.col("ordinal")).withColumn("rank", F.col("rank").cast("int")).drop("_down")
 
 
 def traits(models: DataFrame) -> DataFrame:
@@ -88,11 +95,11 @@ def recommendations(models: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("model"), F.lit(c).alias("confidence")) for k, _, c in kinds])))
 
 
-def comparison_matrix(models: DataFrame, names: list[str]) -> DataFrame:
-    """Quality differences of a stated set of models, each against each."""
-    s = scored(models).where(F.col("model").isin(*names)).select("model", "quality")
-    a, b = s.select(F.col("model").alias("model_a"), F.col("quality").alias("qa")), s.select(F.col("model").alias("model_b"), F.col("quality").alias("qb"))
-    return a.join(F.broadcast(b)).select("model_a", "model_b", F.round(F.when(F.col("model_a") == F.col("model_b"), 0.0).otherwise(F.col("qa") - F.col("qb")), 6).alias("difference"))
+def comparison_matrix(models: DataFrame, comparison: str) -> DataFrame:
+    """Quality differences of the models of each comparison (a run of one prompt over some models), each against each."""
+    s = scored(models).select(comparison, "model", "quality")
+    a, b = s.select(comparison, F.col("model").alias("model_a"), F.col("quality").alias("qa")), s.select(comparison, F.col("model").alias("model_b"), F.col("quality").alias("qb"))
+    return a.join(b, comparison).select(comparison, "model_a", "model_b", F.round(F.when(F.col("model_a") == F.col("model_b"), 0.0).otherwise(F.col("qa") - F.col("qb")), 6).alias("difference"))
 
 
 #: What a model without a profile counts as.
@@ -135,14 +142,34 @@ def route(models: DataFrame, profiles: DataFrame, strategy: str, task: str | Non
 def smoothed_profiles(observations: DataFrame, weight: float = 0.1) -> DataFrame:
     """Exponentially weighted quality and latency per model, in order of time; latency is cut to whole
     milliseconds at each step, so the order matters and the fold is per model."""
-    events = F.array_sort(F.collect_list(F.struct("ts", "tie", F.col("quality").cast("double").alias("q"), F.col("latency").cast("double").alias("l"))))
-    step = lambda acc, e: F.struct(
-        F.when(acc["n"] == 0, e["q"]).otherwise(acc["q"] * (1 - weight) + e["q"] * weight).alias("q"),
-        F.when(acc["n"] == 0, e["l"]).otherwise(F.floor(acc["l"] * (1 - weight) + e["l"] * weight).cast("double")).alias("l"),
-        (acc["n"] + 1).alias("n"),
-    )
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("l"), F.lit(0).alias("n"))
-    return observations.groupBy("model").agg(F.aggregate(events, zero, step).alias("s")).select("model", F.round("s.q", 6).alias("quality"), F.col("s.l").cast("long").alias("latency_ms"), F.col("s.n").cast("long").alias("samples"))
+    kind = observations.schema["model"].dataType.simpleString()
+    rows = observations.select("model", "ts", "tie", F.col("quality").cast("double").alias("q"), F.col("latency").cast("double").alias("l"))
+    return rows.repartition("model").sortWithinPartitions("model", "ts", "tie").select("model", "q", "l").mapInPandas(folded(weight), f"model {kind}, quality double, latency_ms long, samples long")
+
+
+def folded(weight: float):
+    """Rows sorted by model and time -> one row a model. A batch at a time is in memory, and one model's state."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, q, l, n = None, 0.0, 0.0, 0
+        done: list[tuple] = []
+        for batch in batches:
+            for model, quality_, latency in zip(batch["model"].tolist(), batch["q"].tolist(), batch["l"].tolist()):
+                if n and model != now:
+                    done.append((now, round(q, 6), int(l), n))
+                    n = 0
+                if n:
+                    q, l = q * (1 - weight) + quality_ * weight, float(math.floor(l * (1 - weight) + latency * weight))
+                else:
+                    now, q, l = model, quality_, latency
+                n += 1
+            if done:
+                yield pd.DataFrame(done, columns=["model", "quality", "latency_ms", "samples"])
+                done = []
+        if n:
+            yield pd.DataFrame([(now, round(q, 6), int(l), n)], columns=["model", "quality", "latency_ms", "samples"])
+
+    return fold
 
 
 def cheaper_model(stats: DataFrame, least_quality: float) -> DataFrame:
@@ -158,8 +185,6 @@ def cheaper_model(stats: DataFrame, least_quality: float) -> DataFrame:
     )
 
 
-#: Prices per 1,000 prompt and completion tokens by model.
-PRICES = (("gpt-4", 0.03, 0.06), ("gpt-4-turbo", 0.01, 0.03), ("gpt-3.5-turbo", 0.0005, 0.0015), ("claude-3-opus", 0.015, 0.075), ("claude-3-sonnet", 0.003, 0.015), ("claude-3-haiku", 0.00025, 0.00125))
 DEFAULT_PRICE = (0.01, 0.03)
 
 

@@ -47,17 +47,27 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "completed", "failed")])
 
 
+def load() -> Column:
+    return F.when(F.sum("capacity") > 0, F.sum("tasks") / F.sum("capacity")).otherwise(0.0)
+
+
 def cluster_metrics(workers: DataFrame) -> DataFrame:
-    load = F.sum("tasks") / F.sum("capacity")
+    """Workers by status (active: idle or busy), capacity in all, used and free (never below 0), and the load."""
     return workers.agg(
-        F.count("*").alias("workers"), *[F.count_if(F.col("status") == s).alias(s) for s in ("idle", "busy", "offline")],
-        F.sum("capacity").alias("capacity"), F.sum("tasks").alias("tasks"), F.round(F.when(F.sum("capacity") > 0, load).otherwise(0.0), 6).alias("load"),
+        F.count("*").alias("workers"), F.count_if(F.col("status").isin("idle", "busy")).alias("active"), *[F.count_if(F.col("status") == s).alias(s) for s in ("idle", "busy", "failed", "offline")],
+        F.sum("capacity").alias("capacity"), F.sum("tasks").alias("tasks"), F.greatest(F.lit(0), F.sum("capacity") - F.sum("tasks")).alias("free"), F.round(load(), 6).alias("load"),
     )
 
 
-def cluster_health(workers: DataFrame) -> DataFrame:
-    share = F.count_if(F.col("status") != "offline") / F.count("*")
-    return workers.agg(F.round(share, 6).alias("share"), F.when(share >= 0.9, "healthy").when(share >= 0.5, "degraded").otherwise("critical").alias("health"))
+def cluster_health(workers: DataFrame, as_of: Column, check_s: int, unhealthy_s: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A worker is healthy if it is idle or busy and was heard of less than ``check_s`` ago, degraded if less than
+    ``unhealthy_s`` ago, else unhealthy. One unhealthy worker makes the cluster unhealthy; one degraded, or a load over
+    0.9, degraded."""
+    silent = F.unix_timestamp(as_of) - F.unix_timestamp("heartbeat")
+    up = F.col("status").isin("idle", "busy")
+    healthy, known = F.count_if(up & (silent < check_s)), F.count_if(up & (silent < unhealthy_s))
+    counted = workers.groupBy(*keys).agg(healthy.alias("healthy"), (F.greatest(known, healthy) - healthy).alias("degraded"), (F.count("*") - F.greatest(known, healthy)).alias("unhealthy"), F.round(load(), 6).alias("load"))
+    return counted.withColumn("status", F.when(F.col("unhealthy") > 0, "unhealthy").when((F.col("degraded") > 0) | (F.col("load") > 0.9), "degraded").otherwise("healthy"))
 
 
 def with_tags(workers: DataFrame, tags: list[str]) -> DataFrame:

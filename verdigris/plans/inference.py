@@ -200,22 +200,6 @@ def sta12(spark, sf):
     return by_provider(spark, sf).select("category", F.round(d, 6).alias("d"), stats.effect_band(d).alias("band"))
 
 
-@query(
-    "STA14_sensitivity",
-    f"""WITH {RESULTS}, g AS (SELECT provider, model, var_pop(score) AS v FROM r GROUP BY provider, model), s AS (SELECT provider, avg(v) AS mean_variance, coalesce(stddev_pop(v), 0.0) AS sd, count(*) AS n FROM g GROUP BY provider)
-    SELECT provider, round(mean_variance, 9) AS mean_variance, round(greatest(0.0, mean_variance - 2 * sd / sqrt(n)), 9) AS low, round(least(1.0, mean_variance + 2 * sd / sqrt(n)), 9) AS high, sd < 0.2 AND n >= 3 AS significant FROM s""",
-)
-def sta14(spark, sf):
-    """Variance of scores over perturbed runs of each model, with its spread."""
-    v = results(spark, sf).groupBy("provider", "model").agg(F.var_pop("score").alias("v"))
-    s = v.groupBy("provider").agg(F.avg("v").alias("mean_variance"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n"))
-    reach = 2 * F.col("sd") / F.sqrt("n")
-    return s.select(
-        "provider", F.round("mean_variance", 9).alias("mean_variance"), F.round(F.greatest(F.lit(0.0), F.col("mean_variance") - reach), 9).alias("low"),
-        F.round(F.least(F.lit(1.0), F.col("mean_variance") + reach), 9).alias("high"), ((F.col("sd") < 0.2) & (F.col("n") >= 3)).alias("significant"),
-    )
-
-
 QUALITY = """(coalesce(faithfulness * 0.4, 0) + coalesce(relevance * 0.3, 0) + coalesce(coherence * 0.3, 0)) /
   (CASE WHEN faithfulness IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN relevance IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN coherence IS NULL THEN 0 ELSE 0.3::DOUBLE END)"""
 SCORED = f"""WITH {MODELS}, q AS (SELECT *, {QUALITY} AS quality FROM m WHERE success), k AS (SELECT *, CASE WHEN cost <= 0 THEN quality ELSE quality / cost END AS per_cost FROM q),
@@ -261,15 +245,10 @@ def win7(spark, sf):
     return ranking.recommendations(model_results(spark, sf))
 
 
-COMPARED = ["part-1", "part-2", "part-3", "part-4", "part-5"]
-
-
-@query(
-    "JN9_comparison_matrix",
-    SCORED + f" SELECT a.model AS model_a, b.model AS model_b, round(CASE WHEN a.model = b.model THEN 0.0 ELSE a.quality - b.quality END, 6) AS difference FROM o a, o b WHERE a.model IN {tuple(COMPARED)} AND b.model IN {tuple(COMPARED)}",
-)
+@query("JN9_comparison_matrix", SCORED + " SELECT a.provider, a.model AS model_a, b.model AS model_b, round(CASE WHEN a.model = b.model THEN 0.0 ELSE a.quality - b.quality END, 6) AS difference FROM o a JOIN o b ON a.provider = b.provider")
 def jn9(spark, sf):
-    return ranking.comparison_matrix(model_results(spark, sf), COMPARED)
+    """A brand's models are one comparison."""
+    return ranking.comparison_matrix(model_results(spark, sf), "provider")
 
 
 def profiles(spark, sf):
@@ -352,38 +331,6 @@ def win12(spark, sf):
     return ranking.cheaper_model(s, 0.84)
 
 
-PRICE_VALUES = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in ranking.PRICES)
-
-
-@query(
-    "JN4_priced_models",
-    f"""WITH prices(model, a, b) AS (VALUES {PRICE_VALUES}), m AS (SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'gpt-4' WHEN 2 THEN 'claude-3-haiku' ELSE 'model-' || l_linenumber END AS model FROM lineitem)
-    SELECT model, round(100 / 1000.0 * coalesce(a, 0.01) + 50 / 1000.0 * coalesce(b, 0.03), 9) AS cost FROM m LEFT JOIN prices USING (model)""",
-)
-def jn4(spark, sf):
-    line = F.col("l_linenumber")
-    name = F.when(line == 1, "gpt-4").when(line == 2, "claude-3-haiku").otherwise(F.concat(F.lit("model-"), line.cast("string")))
-    prices = spark.createDataFrame(list(ranking.PRICES), "model string, per_prompt double, per_completion double")
-    return ranking.price_per_request(table(spark, sf, "lineitem").select(name.alias("model")).distinct(), prices)
-
-
-@query("MTH2_prices", f"SELECT * FROM (VALUES {PRICE_VALUES}) p(model, per_prompt, per_completion)")
-def mth2(spark, sf):
-    return spark.createDataFrame(list(ranking.PRICES), "model string, per_prompt double, per_completion double")
-
-
-@query(
-    "MTH3_expensive_patterns",
-    f"""WITH {RESULTS}, a AS (SELECT category, avg(prompt_tokens) AS p, avg(completion_tokens) AS c, count(*) FILTER (cost > 0.05 AND status = 'success') / count(*)::DOUBLE AS dear FROM rc GROUP BY category)
-    SELECT category, round(p, 6) AS avg_prompt, round(c, 6) AS avg_completion, p > 500 AS long_prompts, c > 250 AS long_completions, round(dear, 6) AS dear_share FROM a""",
-)
-def mth3(spark, sf):
-    a = results(spark, sf).groupBy("category").agg(
-        F.avg("prompt_tokens").alias("p"), F.avg("completion_tokens").alias("c"), (F.count_if((benchmark.cost() > 0.05) & (F.col("status") == "success")) / F.count("*")).alias("dear")
-    )
-    return a.select("category", F.round("p", 6).alias("avg_prompt"), F.round("c", 6).alias("avg_completion"), (F.col("p") > 500).alias("long_prompts"), (F.col("c") > 250).alias("long_completions"), F.round("dear", 6).alias("dear_share"))
-
-
 def requests(spark, sf):
     """A test is a stress request at the level of its quantity; higher levels fail more."""
     r = results(spark, sf)

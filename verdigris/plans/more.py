@@ -118,26 +118,6 @@ def sta11(spark, sf):
     return found.select("provider", "model", "metric", F.round("t", 6).alias("t"), F.round("p_value", 6).alias("p_value"))
 
 
-@query(
-    "MTH4_suggestions",
-    f"""WITH {RESULTS}, a AS (SELECT category, count(*) AS n, coalesce(sum(prompt_tokens), 0) / count(*)::DOUBLE AS p, coalesce(sum(completion_tokens), 0) / count(*)::DOUBLE AS c, coalesce(sum(cost), 0) AS cost, count(*) FILTER (status = 'success') / count(*)::DOUBLE AS rate FROM rc GROUP BY category),
-    s AS (SELECT category, 'Compress Long Prompts' AS title, (p - 700) / 1000 * 0.03 * n AS saving FROM a WHERE p > 300 UNION ALL SELECT category, 'Set Response Length Limits', (c - 300) / 1000 * 0.06 * n FROM a WHERE c > 500
-      UNION ALL SELECT category, 'Use Batch Processing', cost * 0.1 FROM a WHERE n > 100 UNION ALL SELECT category, 'Optimize Temperature Settings', 0.0 FROM a WHERE rate > 0.84)
-    SELECT category, title, round(saving, 4) AS saving FROM s""",
-)
-def mth4(spark, sf):
-    a = results(spark, sf).groupBy("category").agg(
-        F.count("*").alias("n"), (F.coalesce(F.sum("prompt_tokens"), F.lit(0)) / F.count("*")).alias("p"), (F.coalesce(F.sum("completion_tokens"), F.lit(0)) / F.count("*")).alias("c"),
-        F.coalesce(F.sum(benchmark.cost()), F.lit(0.0)).alias("cost"), (F.count_if(F.col("status") == "success") / F.count("*")).alias("rate"),
-    )
-    made = [
-        ("Compress Long Prompts", F.col("p") > 300, (F.col("p") - 700) / 1000 * 0.03 * F.col("n")), ("Set Response Length Limits", F.col("c") > 500, (F.col("c") - 300) / 1000 * 0.06 * F.col("n")),
-        ("Use Batch Processing", F.col("n") > 100, F.col("cost") * 0.1), ("Optimize Temperature Settings", F.col("rate") > 0.84, F.lit(0.0)),
-    ]
-    some = F.filter(F.array(*[F.when(on, F.struct(F.lit(t).alias("title"), F.round(v, 4).alias("saving"))) for t, on, v in made]), lambda x: x.isNotNull())
-    return a.select("category", F.inline(some))
-
-
 # similarity parts
 
 PAIRS = T.TURNS
@@ -180,7 +160,7 @@ def sim5(spark, sf):
     return p.select("group_id", "i", "j", F.round(S.set_jaccard(S.word_ngrams(F.col("x"), 2), S.word_ngrams(F.col("y"), 2)), 6).alias("similarity"))
 
 
-@query("SIM17_character_error_rate")
+@query("SIM17_character_error_rate", PAIRS + f" SELECT group_id, i, j, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE {T.EDITS.format('a', 'b')} / length(a)::DOUBLE END, 6) AS cer FROM p")
 def sim17(spark, sf):
     return pairs(spark, sf).select("group_id", "i", "j", F.round(S.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
@@ -298,7 +278,7 @@ def udf2(spark, sf):
     return results(spark, sf).transform(without_skipped).groupBy("provider").agg(F.count("*").alias("n"))
 
 
-@query("STR1_subscribe")
+@query("STR1_subscribe", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def str1(spark, sf):
     """Events as a stream, counted by type for a subscriber."""
     at = scratch(spark)
@@ -368,11 +348,6 @@ def agg29(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
 
 
-@query("JN6_claims_and_sentences")
-def jn6(spark, sf):
-    return verification.supports(T.numbered(spark, sf), T.source_sentences(spark, sf), keep=10**6)
-
-
 @query("GEN2_difficulty_draws")
 def gen2(spark, sf):
     return spark.range(10_000).select(generation.difficulty(generation.uniform(5, "id")).alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("n"))

@@ -132,16 +132,6 @@ def str11(spark, sf):
     return monitoring.alive(workers(spark, sf), as_of(), 60).select("id", "alive")
 
 
-@query("AGG22_cluster_metrics", WORKERS + " SELECT count(*) AS workers, count(*) FILTER (status = 'idle') AS idle, count(*) FILTER (status = 'busy') AS busy, count(*) FILTER (status = 'offline') AS offline, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(tasks) AS BIGINT) AS tasks, round(sum(tasks) / sum(capacity)::DOUBLE, 6) AS load FROM w")
-def agg22(spark, sf):
-    return records.cluster_metrics(workers(spark, sf))
-
-
-@query("AGG23_cluster_health", WORKERS + ", s AS (SELECT count(*) FILTER (status <> 'offline') / count(*)::DOUBLE AS share FROM w) SELECT round(share, 6) AS share, CASE WHEN share >= 0.9 THEN 'healthy' WHEN share >= 0.5 THEN 'degraded' ELSE 'critical' END AS health FROM s")
-def agg23(spark, sf):
-    return records.cluster_health(workers(spark, sf))
-
-
 @query("FLT6_worker_tags", WORKERS + " SELECT id, status FROM w WHERE gpu")
 def flt6(spark, sf):
     return records.with_tags(workers(spark, sf), ["gpu", "eu"]).select("id", "status")
@@ -297,12 +287,6 @@ def agg18(spark, sf):
 # joins, filters, sinks
 
 
-@query("FLT10_json_metric", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.summary.k') AS DOUBLE), CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS value FROM events")
-def flt10(spark, sf):
-    pick = lambda p: F.get_json_object("props", p).cast("double")
-    return table(spark, sf, "events").select("event_id", F.coalesce(pick("$.results[0].k"), pick("$.summary.k"), pick("$.k")).alias("value"))
-
-
 @query("AGG26_mean_score", f"WITH {MODELS} SELECT model, round(coalesce(list_avg(list_filter([faithfulness, relevance, coherence], lambda x: x IS NOT NULL)), 0.0), 6) AS score FROM m")
 def agg26(spark, sf):
     scores = F.map_filter(F.create_map(*[x for n in ("faithfulness", "relevance", "coherence") for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
@@ -385,40 +369,11 @@ def mth8(spark, sf):
     return spark.range(10).select(F.col("id").cast("int").alias("attempt"), F.least(F.lit(60000), F.lit(1000) * F.pow(F.lit(2), F.col("id"))).cast("long").alias("wait_ms"))
 
 
-@query("MTH5_savings", f"WITH {RESULTS}, c AS (SELECT provider, round(sum(cost) / count(*), 9) AS cost FROM rc GROUP BY provider) SELECT a.provider AS from_provider, b.provider AS to_provider, round((a.cost - b.cost) * 30 * 24 * 100, 6) AS monthly FROM c a JOIN c b ON a.provider <> b.provider")
-def mth5(spark, sf):
-    """Providers are a handful: each against each, after they are aggregated."""
-    c = results(spark, sf).groupBy("provider").agg(F.round(F.sum(benchmark.cost()) / F.count("*"), 9).alias("cost"))
-    a, b = c.select(F.col("provider").alias("from_provider"), F.col("cost").alias("x")), c.select(F.col("provider").alias("to_provider"), F.col("cost").alias("y"))
-    return a.join(F.broadcast(b), a["from_provider"] != b["to_provider"]).select("from_provider", "to_provider", F.round((F.col("x") - F.col("y")) * 30 * 24 * 100, 6).alias("monthly"))
-
-
-@query(
-    "STA16_confidence",
-    f"""WITH {RESULTS}, s AS (SELECT provider, model, count(*) AS n, count(*) FILTER (status = 'success') / count(*)::DOUBLE AS rate, coalesce(stddev_pop(duration_ms) / avg(duration_ms), 0.0) AS cv FROM r GROUP BY ALL)
-    SELECT provider, model, round(0.4 * least(1.0, n / 100.0) + 0.2 * rate + 0.2 * greatest(0.0, 1 - cv) + 0.2 * 1.0, 6) AS confidence FROM s""",
-)
-def sta16(spark, sf):
-    """Sample size, success rate, steadiness of latency and completeness, weighted .4 .2 .2 .2."""
-    s = results(spark, sf).groupBy("provider", "model").agg(
-        F.count("*").alias("n"), (F.count_if(F.col("status") == "success") / F.count("*")).alias("rate"), (F.stddev_pop("duration_ms") / F.avg("duration_ms")).alias("cv")
-    )
-    return s.select("provider", "model", F.round(0.4 * F.least(F.lit(1.0), F.col("n") / 100) + 0.2 * F.col("rate") + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("cv")) + 0.2, 6).alias("confidence"))
-
-
 @query("AGG25_task_distribution", "SELECT p_type AS task, count(*) AS n FROM part GROUP BY p_type")
 def agg25(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_type").alias("task")).agg(F.count("*").alias("n"))
 
 
-@query("AGG27_prompt_sensitivity", f"WITH {RESULTS} SELECT provider, round(avg(duration_ms), 6) AS mean_latency, round(var_pop(duration_ms), 3) AS var_latency, round(avg(tokens), 6) AS avg_tokens, round(count(*) FILTER (status = 'success') / count(*)::DOUBLE, 6) AS success_rate FROM rc GROUP BY provider")
-def agg27(spark, sf):
-    return results(spark, sf).groupBy("provider").agg(
-        F.round(F.avg("duration_ms"), 6).alias("mean_latency"), F.round(F.var_pop("duration_ms"), 3).alias("var_latency"), F.round(F.avg(benchmark.tokens()), 6).alias("avg_tokens"),
-        F.round(F.count_if(F.col("status") == "success") / F.count("*"), 6).alias("success_rate"),
-    )
-
-
 @query("WIN25_most_similar", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 10")
 def win25(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")

