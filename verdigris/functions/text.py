@@ -35,8 +35,19 @@ def syllables(word: Column) -> Column:
     return F.greatest(groups - silent + extra, F.lit(1))
 
 
+#: Letters that are no vowels; where a word of letters with apostrophes inside begins, and where it ends.
+CONSONANT = "[b-df-hj-np-tv-xz]"
+BEGINS, ENDS = "(?<![a-z])(?<![a-z]')", "(?![a-z]|'[a-z])"
+
+
 def syllable_total(text: Column) -> Column:
-    return F.aggregate(F.transform(letter_words(text), syllables), F.lit(0), lambda a, x: a + x)
+    """``syllables`` of all words of a text, summed without taking it apart: its vowel groups, less the words that end
+    in e and have another group, plus those that end in le after no vowel, plus those that have no group."""
+    count = lambda pattern: F.regexp_count(text, F.lit(f"(?i){pattern}"))
+    inner = f"(?:{CONSONANT}|'(?=[a-z]))"
+    silent = count(f"e{ENDS}") - count(f"{BEGINS}{inner}*+[aeiouy]*e{ENDS}")
+    extra = count(f"(?:{CONSONANT}|(?<=[a-z])')le{ENDS}")
+    return count("[aeiouy]+") - silent + extra + count(f"{BEGINS}{CONSONANT}{inner}*+{ENDS}")
 
 
 def letter_words(text: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 DIFFICULTY = (("easy", 0.33), ("medium", 0.67), ("hard", 1.0))
 TEMPLATES = ("Summarize the following text about {topic}.", "Explain {topic} in simple terms.", "Write a function that handles {topic}.", "Compare two views of {topic}.")
 TOPICS = ("sorting", "history", "chemistry", "trade", "music")
-PERTURBATIONS = ("paraphrase", "rephrase", "format", "tone", "expand", "reduce", "reverse", "emphasis")
 
 
 def uniform(seed: int, *parts) -> Column:
@@ -77,13 +76,25 @@ def extreme(sizes: list[int], kinds=("a", "é", "\n", "0")) -> Column:
     return F.array(*[F.struct(F.lit(s).alias("size"), F.lit(k).alias("kind"), F.repeat(F.lit(k), F.lit(s)).alias("text")) for s in sizes for k in kinds])
 
 
-def perturbed(prompts: DataFrame) -> DataFrame:
-    """(id, kind, prompt): eight fixed perturbations of each prompt."""
+def perturbed(prompts: DataFrame, indexes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """(id, kind, index, prompt): eight kinds of perturbation of each prompt (id, text), with their variant of each index;
+    variants come round after three. Reduction and reversal change only the first, and only texts of more sentences."""
     p = F.col("text")
-    sentences = F.split(p, r"(?<=[.!?])\s+")
-    made = {
-        "paraphrase": F.concat(F.lit("In other words: "), p), "rephrase": F.concat(F.lit("Could you please address this: "), p), "format": F.concat(F.lit("- "), F.regexp_replace(p, r"\n", "\n- ")),
-        "tone": F.concat(F.lit("Kindly note. "), p), "expand": F.concat(p, F.lit(" Please explain in detail.")), "reduce": F.element_at(sentences, 1),
-        "reverse": F.array_join(F.reverse(sentences), " "), "emphasis": F.concat(F.lit("IMPORTANT: "), p),
-    }
-    return prompts.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), made[k].alias("prompt")) for k in PERTURBATIONS])))
+    marks = r"[.!?]+"
+    first = F.element_at(F.split(p, marks), 1)
+    sentences, ends = F.split(p, marks), F.regexp_extract_all(p, F.lit(f"({marks})"), F.lit(1))
+    # sentences and the marks between them, from the last to the first
+    turned = F.trim(F.array_join(F.reverse(F.flatten(F.zip_with(sentences, F.concat(ends, F.array(F.lit(""))), lambda s, m: F.array(s, m)))), ""))
+    variants = {
+        "paraphrase": [F.concat(F.lit(lead), F.lower(F.substring(p, 1, 1)), F.substr(p, F.lit(2))) for lead in ("Please ", "Could you ", "I would like you to ")],
+        "instruction_rephrase": [p, F.concat(p, F.lit("\n\nPlease be specific.")), F.concat(F.lit("Task: "), p)],
+        "format_change": [p, F.concat(F.lit("# Request\n\n"), p), F.concat(F.lit("Question: "), p, F.lit("\n\nAnswer:"))],
+        "tone_shift": [p, F.concat(F.lit("Formally speaking, "), p), F.concat(F.lit("Hey, "), F.lower(p))],
+        "detail_expansion": [p, F.concat(p, F.lit(" Please provide a detailed explanation.")), F.concat(p, F.lit(" Be comprehensive in your response."))],
+        "emphasis_change": [p, F.concat(F.lit("IMPORTANT: "), p), F.concat(p, F.lit(" (This is critical)"))],
+    }
+    several = p.rlike(marks)
+    made = [F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("index"), v[i % 3].alias("prompt")) for kind, v in variants.items() for i in indexes]
+    for kind, changed in (("detail_reduction", F.concat(first, F.lit("."))), ("order_change", turned)):
+        made += [F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("index"), (F.when(several, changed).otherwise(p) if i == 0 else p).alias("prompt")) for i in indexes]
+    return prompts.select("id", F.inline(F.array(*made)))

@@ -2,28 +2,81 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verdigris.functions import similarity as S
-
-#: So many queries are broadcast at a time.
-QUERIES_IN_BLOCK = 4096
+#: So many numbers of queries are broadcast at a time, and so many products are made at a time.
+NUMBERS_IN_BLOCK, PRODUCTS_AT_ONCE = 4 << 20, 1 << 20
 
 
 def similar_vectors(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """(query_id, vec_id, cosine, euclidean, dot) for each pair of a query (query_id, q) and a vector
-    (vec_id, embedding) with at least that cosine. Queries are taken in blocks of bounded size, by
-    hash, so what is broadcast does not grow with their number."""
-    blocks = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
-    q, e = F.col("q"), F.col("embedding")
-
-    def block(k: int) -> DataFrame:
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        return vectors.join(F.broadcast(some)).select(
-            "query_id", "vec_id", F.round(S.cosine(q, e), 6).alias("cosine"), F.round(S.euclidean(q, e), 6).alias("euclidean"), F.round(S.dot(q, e), 6).alias("dot")
-        )
-
-    return reduce(DataFrame.unionByName, map(block, range(blocks))).where(F.col("cosine") >= least)
+    (vec_id, embedding) with at least that cosine, rounded to six places as the others are. Null vectors
+    and those of another length than a query's have no pair with it; a vector of length 0 has the cosine 0.
+
+    Queries are taken in blocks of bounded size, by hash, so what is broadcast does not grow with their number.
+    A task multiplies a batch of unit vectors with a block of unit queries; only pairs near the bound or above it are
+    looked at one by one.
+    """
+    asked = queries.where("q IS NOT NULL").select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    numbers = asked.agg(F.sum(F.size("q"))).first()[0] or 0
+    blocks = max(1, -(-numbers // NUMBERS_IN_BLOCK))
+    found = None
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
+        one = against(vectors, rows, least)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def against(vectors: DataFrame, queries: pa.Table, least: float) -> DataFrame:
+    ids, lists = queries.column("query_id").combine_chunks(), queries.column("q").to_pylist()
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for length in {len(q) for q in lists}:
+        at = np.array([i for i, q in enumerate(lists) if len(q) == length])
+        by_length[length] = at, np.array([lists[i] for i in at], float).reshape(len(at), length)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, by_length))
+    id_types = T.StructField("query_id", T._parse_datatype_string(_type_of(ids))), T.StructField("vec_id", vectors.schema["vec_id"].dataType)
+    schema = T.StructType([*id_types, *(T.StructField(c, T.DoubleType()) for c in ("cosine", "euclidean", "dot"))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, by_length = shared.value
+        for batch in batches:
+            lengths = np.array([-1 if n is None else n for n in batch.column("n").to_pylist()])
+            for length, (which, queries) in by_length.items():
+                at = np.flatnonzero(lengths == length)
+                if not len(at):
+                    continue
+                flat = batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+                here = flat.reshape(len(at), length)
+                step = max(1, PRODUCTS_AT_ONCE // len(queries))
+                for first in range(0, len(at), step):
+                    yield from pairs(ids, which, queries, batch.column("vec_id").take(pa.array(at[first : first + step])), here[first : first + step], least)
+
+    narrow = vectors.where("embedding IS NOT NULL").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.size("embedding").alias("n"))
+    return narrow.mapInArrow(compare, schema)
+
+
+def pairs(ids: pa.Array, which: np.ndarray, queries: np.ndarray, vec_ids: pa.Array, vectors: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, 1)
+    v, q = np.nonzero(unit(vectors) @ unit(queries).T >= least - 1e-5)
+    a, b = vectors[v], queries[q]
+    dot = (a * b).sum(axis=1)
+    norm = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    cosine = np.round(np.divide(dot, norm, out=np.zeros(len(dot)), where=norm > 0), 6)
+    on = np.flatnonzero(cosine >= least)
+    if len(on):
+        distance = np.sqrt(((a - b) ** 2).sum(axis=1))
+        columns = [ids.take(pa.array(which[q[on]])), vec_ids.take(pa.array(v[on])), *(pa.array(x[on]) for x in (cosine, np.round(distance, 6), np.round(dot, 6)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "cosine", "euclidean", "dot"])
+
+
+def _type_of(ids: pa.Array) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(ids.type).simpleString()

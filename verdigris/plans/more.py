@@ -198,12 +198,26 @@ def txt6(spark, sf):
     return T.measures(spark, sf).select("id", F.round(benchmark.ratio(F.col("words"), F.col("sentences")), 6).alias("length"))
 
 
-@query("TXT8_coherence_violations")
+SENTENCE_LIST = "list_filter(string_split(trim(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g')), chr(1)), lambda s: trim(s) <> '')"
+UNITS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+(?:[''’.][\\p{{L}}\\p{{N}}]+)*'))"
+MARKS = " + ".join(f"len(regexp_extract_all(lower(text), '\\b{m}\\b'))" for marks in X.MARKERS.values() for m in marks)
+VIOLATIONS = f"""WITH b AS (SELECT doc_id AS id, text, {SENTENCE_LIST} AS s, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w, {UNITS.format('text')} AS words, {MARKS} AS markers FROM documents),
+  v AS (SELECT id, CAST(words AS INT) AS words, CAST(markers AS INT) AS markers, CAST(words < 3 AS INT) AS short, CAST(CASE WHEN words < 3 THEN 0 ELSE len(list_filter(s, lambda x: {UNITS.format('x')} > 40)) END AS INT) AS long_sentences,
+    CAST(CASE WHEN words < 3 THEN 0 ELSE len(list_filter(s, lambda x: {UNITS.format('x')} = 1 AND NOT regexp_matches(x, '[?!]$'))) END AS INT) AS single_words,
+    CAST(CASE WHEN words < 3 THEN 0 ELSE len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND length(w[i]) > 3 AND regexp_matches(w[i], '[a-zA-Z]'))) END AS INT) AS repeats FROM b)"""
+
+
+@query("TXT8_coherence_violations", VIOLATIONS + " SELECT * FROM v")
 def txt8(spark, sf):
     return coherence.violations(T.documents(spark, sf))
 
 
-@query("TXT9_coherence_heuristic")
+@query(
+    "TXT9_coherence_heuristic",
+    VIOLATIONS
+    + """, d AS (SELECT *, markers / greatest(words, 1)::DOUBLE AS density FROM v) SELECT id, round(greatest(0.0, least(1.0, 0.85 - 0.08 * short - 0.03 * (long_sentences + single_words + repeats) - CASE WHEN words < 10 THEN 0.1 ELSE 0 END
+    + CASE WHEN density > 0.02 AND density < 0.15 THEN 0.05 ELSE 0 END))::DOUBLE, 6) AS score FROM d""",
+)
 def txt9(spark, sf):
     return coherence.violations(T.documents(spark, sf)).select("id", F.round(coherence.heuristic(), 6).alias("score"))
 

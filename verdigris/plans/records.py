@@ -269,10 +269,25 @@ def flt7(spark, sf):
     return generation.constrained(table(spark, sf, "documents"), 100, 5000, ["License", "idiot"]).select("doc_id")
 
 
-@query("TXT28_perturbations")
+VARIANTS = {
+    "paraphrase": [f"'{lead}' || lower(text[1]) || substring(text, 2)" for lead in ("Please ", "Could you ", "I would like you to ")],
+    "instruction_rephrase": ["text", "text || chr(10) || chr(10) || 'Please be specific.'", "'Task: ' || text"],
+    "format_change": ["text", "'# Request' || chr(10) || chr(10) || text", "'Question: ' || text || chr(10) || chr(10) || 'Answer:'"],
+    "tone_shift": ["text", "'Formally speaking, ' || text", "'Hey, ' || lower(text)"],
+    "detail_expansion": ["text", "text || ' Please provide a detailed explanation.'", "text || ' Be comprehensive in your response.'"],
+    "emphasis_change": ["text", "'IMPORTANT: ' || text", "text || ' (This is critical)'"],
+    "detail_reduction": ["CASE WHEN regexp_matches(text, '[.!?]') THEN regexp_split_to_array(text, '[.!?]+')[1] || '.' ELSE text END", "text", "text"],
+    "order_change": ["CASE WHEN regexp_matches(text, '[.!?]') THEN trim(array_to_string(list_reverse(regexp_extract_all(text, '[.!?]+|[^.!?]+')), '')) ELSE text END", "text", "text"],
+}
+
+
+@query(
+    "TXT28_perturbations",
+    "WITH p AS (SELECT conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'user') " + " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, {i} AS index, md5({sql}) AS prompt_hash FROM p" for kind, v in VARIANTS.items() for i, sql in enumerate(v)),
+)
 def txt28(spark, sf):
     prompts = table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return generation.perturbed(prompts)
+    return generation.perturbed(prompts).select("id", "kind", "index", F.md5("prompt").alias("prompt_hash"))
 
 
 @query(

@@ -449,13 +449,36 @@ def jn1b(spark, sf):
     return verification.mismatches(o, g)
 
 
-@query("TXT26_golden_match")
+WEIGHTS = ((2, 0.2), (3, 0.3), (4, 0.3), (5, 0.2))
+SOME = {n: f"len(x{n}) > 0 AND len(y{n}) > 0" for n, _ in WEIGHTS}
+MATCHED = GOLDEN + (
+    f""", nm AS (SELECT sample_id, output, golden, {NORM.replace('text', 'output')} AS o, {NORM.replace('text', 'golden')} AS g FROM g),
+  gr AS (SELECT *, {", ".join(f"{char_grams_sql('o', n)} AS x{n}, {char_grams_sql('g', n)} AS y{n}" for n, _ in WEIGHTS)}, {KW.format('o')} AS ko, {KW.format('g')} AS kg FROM nm),
+  tb AS (SELECT *, {" + ".join(f"CASE WHEN {SOME[n]} THEN {w}::DOUBLE * {jaccard_sql(f'x{n}', f'y{n}')} ELSE 0 END" for n, w in WEIGHTS)} AS top, {" + ".join(f"CASE WHEN {SOME[n]} THEN {w}::DOUBLE ELSE 0 END" for n, w in WEIGHTS)} AS bottom FROM gr),
+  sm AS (SELECT sample_id, o = g AS exact, round(CASE WHEN o = g THEN 1.0 WHEN bottom > 0 THEN top / bottom ELSE 0.0 END, 6) AS semantic, round({jaccard_sql('ko', 'kg')}, 6) AS keyword, round(0.5 * {{ratio}} + 0.5 * {{paragraphs}}, 6) AS structural FROM tb),
+  mt AS (SELECT *, CASE WHEN exact THEN 'exact_match' WHEN semantic >= 0.85 THEN 'semantic_match' WHEN structural >= 0.9 THEN 'structural_match' WHEN keyword >= 0.6 OR semantic >= 0.5 THEN 'partial_match' ELSE 'no_match' END AS match FROM sm),
+  gm AS (SELECT *, CASE WHEN match IN ('exact_match', 'semantic_match', 'structural_match') THEN 'pass' WHEN match = 'partial_match' THEN 'warning' WHEN semantic < 0.2 THEN 'critical' ELSE 'fail' END AS severity,
+    round(CASE WHEN exact THEN 0.99 ELSE least(1.0, CASE WHEN semantic >= 0.95 THEN 0.95 WHEN semantic >= 0.85 THEN 0.75 + (semantic - 0.85) * 0.5 WHEN semantic >= 0.5 THEN 0.5 + semantic * 0.3 ELSE 0.4 + semantic * 0.2 END + CASE WHEN match = 'no_match' THEN 0.1 ELSE 0 END) END, 6) AS confidence FROM mt)"""
+    .replace("{ratio}", "CASE WHEN greatest(length(output), length(golden)) = 0 THEN 1.0 ELSE least(length(output), length(golden)) / greatest(length(output), length(golden))::DOUBLE END")
+    .replace("{paragraphs}", "CASE WHEN greatest({0}, {1}) = 0 THEN 1.0 ELSE least({0}, {1}) / greatest({0}, {1})::DOUBLE END".format(*(f"len(list_filter(regexp_split_to_array({c}, '\\n\\n+'), lambda x: trim(x) <> ''))" for c in ("output", "golden"))))
+)
+
+
+@query("TXT26_golden_match", MATCHED + " SELECT * FROM gm")
 def txt26(spark, sf):
     o, g = outputs_and_golden(spark, sf)
     return verification.golden_match(verification.golden(o, g))
 
 
-@query("AGG13_golden_stats")
+@query(
+    "AGG13_golden_stats",
+    MATCHED
+    + ", ct AS (SELECT count(*) AS samples, "
+    + ", ".join(f"count(*) FILTER (match = '{m}') AS {m}" for m in ("exact_match", "semantic_match", "structural_match", "partial_match", "no_match"))
+    + ", " + ", ".join(f"count(*) FILTER (severity = '{v}') AS severity_{v}" for v in ("pass", "warning", "fail", "critical"))
+    + """, CAST(floor(100 * (0.4 * (count(*) FILTER (severity = 'pass') / count(*)::DOUBLE) + 0.3 * (count(*) FILTER (exact) / count(*)::DOUBLE) + 0.2 * avg(semantic) + 0.1 * avg(confidence)) + 0.5) AS BIGINT) AS score FROM gm)
+    SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM ct""",
+)
 def agg13(spark, sf):
     o, g = outputs_and_golden(spark, sf)
     return verification.golden_stats(verification.golden_match(verification.golden(o, g)))
