@@ -34,6 +34,8 @@ STEREOTYPES = {
 STEREOTYPE_RELEVANCE = 0.85
 #: Gendered terms and the neutral ones for them; othering and dehumanising language.
 GENDERED = ((r"\bchairman\b", "chairperson"), (r"\bpoliceman\b", "police officer"), (r"\bfireman\b", "firefighter"), (r"\bstewardess\b", "flight attendant"), (r"\bmankind\b", "humankind"), (r"\bman[\s-]?made\b", "artificial"))
+#: Comparisons of groups, and how relevant they are.
+COMPARATIVE, COMPARATIVE_RELEVANCE = r"\b(?:unlike|compared\s+to|whereas|but)\s+[a-z]+\s+(?:people|folks|groups?)\s+(?:who\s+are\s+)?[a-z]+", 0.6
 OTHERING = (r"\bthose\s+people\b", r"\btheir\s+kind\b", r"\byou\s+people\b", r"\bthem\s+vs\.?\s+us\b")
 DEHUMANISING = (r"\binfest(?:ed|ing|ation)?\b", r"\billegal\s+(?:alien|immigrant)s?\b", r"\bswarm(?:ing|ed)?\b", r"\bhorde\b")
 SEVERITIES = ("negligible", "low", "medium", "high", "critical")
@@ -63,6 +65,13 @@ def detect(texts: DataFrame) -> DataFrame:
     return spread.where("matches > 0").select("id", "bias_type", "matches", F.round(F.col("weight") / F.col("matches"), 6).alias("relevance"))
 
 
+def disparities(texts: DataFrame) -> DataFrame:
+    """(id, place, text, bias_type, relevance, severity): comparisons of groups, which are of low severity whatever their
+    relevance."""
+    found = F.regexp_extract_all("text", F.lit(f"(?i)({COMPARATIVE})"), F.lit(1))
+    return texts.select("id", F.posexplode(found).alias("place", "text")).withColumns({"bias_type": F.lit("cultural"), "relevance": F.lit(COMPARATIVE_RELEVANCE), "severity": F.lit("low")})
+
+
 def severity(relevance: Column) -> Column:
     return F.when(relevance >= 0.9, "critical").when(relevance >= 0.75, "high").when(relevance >= 0.5, "medium").when(relevance >= 0.3, "low").otherwise("negligible")
 

@@ -17,6 +17,22 @@ def uniform(seed: int, *parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / F.lit(float(1 << 53))
 
 
+#: The linear congruential generator that seeded runs draw from.
+FACTOR, ADDEND, BITS = 1103515245, 12345, 31
+
+
+def lcg(seed: int, n: Column) -> Column:
+    """The state after ``n`` steps from ``seed``, below 2 ** 31, without making the steps before: each bit of n takes as
+    many steps at once, whose factor and addend are known."""
+    state, factor, addend, low = F.lit(seed % (1 << BITS)).cast("long"), FACTOR % (1 << BITS), ADDEND, F.lit((1 << BITS) - 1).cast("long")
+    for bit in range(BITS):
+        on = F.shiftright(n.cast("long"), bit).bitwiseAND(F.lit(1).cast("long"))
+        # both factors are below 2 ** 31, so the product is below 2 ** 62; where the bit is off, one and nothing
+        state = (state * (on * (factor - 1) + 1) + on * addend).bitwiseAND(low)
+        factor, addend = factor * factor % (1 << BITS), (factor * addend + addend) % (1 << BITS)
+    return state
+
+
 def difficulty(u: Column) -> Column:
     out = F.lit(DIFFICULTY[-1][0])
     for name, upto in reversed(DIFFICULTY[:-1]):

@@ -93,6 +93,12 @@ def latest_per(df: DataFrame, key: str, keep: int, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= keep)
 
 
+def cache_stats(lookups: DataFrame) -> DataFrame:
+    """Hits, misses, entries and the rate of hits of a cache, from its lookups (key, hit)."""
+    hits, n = F.count_if("hit"), F.count("*")
+    return lookups.agg(hits.alias("hits"), (n - hits).alias("misses"), F.count_distinct("key").alias("size"), F.round(F.when(n > 0, hits / n).otherwise(0.0), 6).alias("hit_rate"))
+
+
 def fresh(cached: DataFrame, as_of: Column, hours: int = 168) -> DataFrame:
     """Cached judgements that are still valid."""
     return cached.where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))

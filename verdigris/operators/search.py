@@ -16,14 +16,14 @@ NUMBERS_IN_BLOCK, PRODUCTS_AT_ONCE = 4 << 20, 1 << 20
 
 def similar_vectors(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """(query_id, vec_id, cosine, euclidean, dot) for each pair of a query (query_id, q) and a vector
-    (vec_id, embedding) with at least that cosine, rounded to six places as the others are. Null vectors
+    (vec_id, embedding) with at least that cosine, rounded to six places as the others are. Null and empty vectors
     and those of another length than a query's have no pair with it; a vector of length 0 has the cosine 0.
 
     Queries are taken in blocks of bounded size, by hash, so what is broadcast does not grow with their number.
     A task multiplies a batch of unit vectors with a block of unit queries; only pairs near the bound or above it are
     looked at one by one.
     """
-    asked = queries.where("q IS NOT NULL").select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    asked = queries.where("size(q) > 0").select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
     numbers = asked.agg(F.sum(F.size("q"))).first()[0] or 0
     blocks = max(1, -(-numbers // NUMBERS_IN_BLOCK))
     found = None

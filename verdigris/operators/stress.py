@@ -50,6 +50,24 @@ def breaking_points(requests: DataFrame) -> DataFrame:
     return one.select(*SCENARIO, "threshold", F.round("failure_rate", 6).alias("failure_rate"), "first_failure_at", pattern.alias("pattern"))
 
 
+#: Types of tests whose breaking point is a level of concurrency, or a size of input; and those that recover.
+BY_LEVEL, BY_SIZE, RECOVERING = ("load_ramp", "rate_limit_probe"), ("extreme_input", "context_overflow"), ("spike", "soak")
+
+
+def typed_breaking_points(requests: DataFrame) -> DataFrame:
+    """Breaking points by what a test (test_type, with level and input_size) varies; other types have none. Beyond a size,
+    the pattern is a cliff."""
+    level = breaking_points(requests.where(F.col("test_type").isin(*BY_LEVEL))).withColumn("metric", F.lit("concurrency"))
+    sized = requests.where(F.col("test_type").isin(*BY_SIZE)).withColumn("level", F.col("input_size"))
+    size = breaking_points(sized).withColumns({"pattern": F.lit("cliff"), "metric": F.lit("input_size")})
+    return level.unionByName(size)
+
+
+def typed_recovery(requests: DataFrame) -> DataFrame:
+    """Recovery of the tests that have a peak to recover from; others have no row."""
+    return recovery(requests.where(F.col("test_type").isin(*RECOVERING)))
+
+
 def recovery(requests: DataFrame) -> DataFrame:
     """First failure to the first success after it, and the success rate from then on (1 and no time
     if nothing failed or nothing recovered). Order: ts, then tie."""

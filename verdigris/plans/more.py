@@ -285,13 +285,6 @@ def udf1(spark, sf):
     return verification.evaluate(joined, {"longer": ("longer", None)}).select("sample_id", "longer")
 
 
-@query("UDF2_transform_plugin", f"WITH {RESULTS} SELECT provider, count(*) AS n FROM r WHERE status <> 'skipped' GROUP BY provider")
-def udf2(spark, sf):
-    """A filter plugin is a function from a table to a table."""
-    without_skipped = lambda df: df.where("status != 'skipped'")
-    return results(spark, sf).transform(without_skipped).groupBy("provider").agg(F.count("*").alias("n"))
-
-
 @query("STR1_subscribe", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def str1(spark, sf):
     """Events as a stream, counted by type for a subscriber."""
@@ -317,7 +310,7 @@ def src1(spark, sf):
     """A directory of dataset files, one per brand, read and taken apart into test cases."""
     at = f"{scratch(spark)}/datasets"
     cases = F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("prompt")))
-    table(spark, sf, "part").groupBy(F.pmod(F.hash("p_partkey"), F.lit(200)).alias("k")).agg(cases.alias("test_cases")).repartition(200, "k").select(
+    table(spark, sf, "part").groupBy(F.pmod(F.hash("p_partkey"), F.lit(200)).alias("k")).agg(cases.alias("test_cases")).select(
         F.concat(F.lit("set-"), F.col("k")).alias("name"), F.lit("1").alias("version"), "test_cases"
     ).write.option("maxRecordsPerFile", 1).json(at)
     return files.test_cases(files.datasets(spark, at)).select("id", "prompt")
@@ -341,13 +334,6 @@ def snk5(spark, sf):
     return spark.createDataFrame([(page, len(page))], "html string, size long")
 
 
-@query("SNK9_exporter_series", "SELECT 'provider-' || user_id % 5 AS provider, count(*)::DOUBLE AS value FROM events GROUP BY 1")
-def snk9(spark, sf):
-    from verdigris.plans.records import events
-
-    return monitoring.counters(events(spark, sf)).where("name = 'requests_total'").select("provider", "value")
-
-
 @query("AGG24_running_provider_stats", "SELECT 'provider-' || user_id % 5 AS provider, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success_rate FROM events GROUP BY 1")
 def agg24(spark, sf):
     from verdigris.plans.records import events
@@ -356,38 +342,11 @@ def agg24(spark, sf):
     return s.select("provider", "requests", "errors", F.round((F.col("requests") - F.col("errors")) / F.col("requests"), 6).alias("success_rate"))
 
 
-@query("AGG29_part_kinds", "SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM conversations GROUP BY conv_id")
-def agg29(spark, sf):
-    """Parts of each message by kind: here the turns of each conversation by role."""
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
-
-
 @query("GEN2_difficulty_draws")
 def gen2(spark, sf):
     return spark.range(10_000).select(generation.difficulty(generation.uniform(5, "id")).alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("n"))
 
 
-@query("GEN4_content_templates", "SELECT t AS template, p AS topic FROM (VALUES " + ", ".join(f"('{t}')" for t in generation.TEMPLATES) + ") a(t), (VALUES " + ", ".join(f"('{t}')" for t in generation.TOPICS) + ") b(p)")
-def gen4(spark, sf):
-    pairs = [(t, p) for t in generation.TEMPLATES for p in generation.TOPICS]
-    return spark.createDataFrame(pairs, "template string, topic string")
-
-
-@query("GEN5_severity_templates", "SELECT c AS category, s AS severity, 'Probe for ' || c || ' at ' || s || ' severity' AS prompt FROM (VALUES ('formatting'), ('ambiguity'), ('length')) a(c), (VALUES ('low'), ('medium'), ('high'), ('critical')) b(s)")
-def gen5(spark, sf):
-    """Harmless probes by category and severity."""
-    rows = [(c, s) for c in ("formatting", "ambiguity", "length") for s in ("low", "medium", "high", "critical")]
-    return spark.createDataFrame(rows, "category string, severity string").withColumn("prompt", F.format_string("Probe for %s at %s severity", "category", "severity"))
-
-
-@query("UDF4_multimodal_score", "SELECT p_partkey, round(coalesce(list_avg(list_filter([CASE WHEN p_size % 2 = 0 THEN p_size / 50.0 END, CASE WHEN p_size % 3 = 0 THEN 1 - p_size / 100.0 END], lambda x: x IS NOT NULL)), 0.0), 6) AS score FROM part")
-def udf4(spark, sf):
-    """The mean of the branches that are present: vision, and one less the word error rate."""
-    k = F.col("p_size")
-    some = F.filter(F.array(F.when(k % 2 == 0, k / 50.0), F.when(k % 3 == 0, 1 - k / 100.0)), lambda x: x.isNotNull())
-    return table(spark, sf, "part").select("p_partkey", some.alias("s")).select("p_partkey", F.round(F.when(F.size("s") == 0, 0.0).otherwise(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")), 6).alias("score"))
-
-
 @query("UDF5_evaluate_all", T.SCORES + " SELECT sample_id, round((exact + part + length) / 3, 6) AS accuracy, round((words + format) / 2, 6) AS quality FROM s")
 def udf5(spark, sf):
     s = T.scores(spark, sf)

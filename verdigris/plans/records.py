@@ -152,12 +152,6 @@ def dt3(spark, sf):
     return records.fresh(jobs(spark, sf), as_of()).select("id")
 
 
-@query("AGG28_cache_hits", JOBS + " SELECT count(*) AS lookups, count(*) FILTER (attempts > 0) AS hits, round(count(*) FILTER (attempts > 0) / count(*)::DOUBLE, 6) AS hit_rate FROM j")
-def agg28(spark, sf):
-    hit = F.count_if(F.col("attempts") > 0)
-    return jobs(spark, sf).agg(F.count("*").alias("lookups"), hit.alias("hits"), F.round(benchmark.ratio(hit, F.count("*")), 6).alias("hit_rate"))
-
-
 # monitoring
 
 
@@ -290,15 +284,6 @@ def txt28(spark, sf):
     return generation.perturbed(prompts).select("id", "kind", "index", F.md5("prompt").alias("prompt_hash"))
 
 
-@query(
-    "AGG18_category_diversity",
-    f"WITH {RESULTS} SELECT category, count(*) AS n, count(DISTINCT part_key) AS vectors, round(least(1.0, count(DISTINCT part_key) / greatest(count(*) / 2.0, 1)), 6) AS diversity FROM r GROUP BY category",
-)
-def agg18(spark, sf):
-    v = F.count_distinct("part_key")
-    return results(spark, sf).groupBy("category").agg(F.count("*").alias("n"), v.alias("vectors"), F.round(F.least(F.lit(1.0), v / F.greatest(F.count("*") / 2, F.lit(1.0))), 6).alias("diversity"))
-
-
 # joins, filters, sinks
 
 
@@ -384,11 +369,6 @@ def mth8(spark, sf):
     return spark.range(10).select(F.col("id").cast("int").alias("attempt"), F.least(F.lit(60000), F.lit(1000) * F.pow(F.lit(2), F.col("id"))).cast("long").alias("wait_ms"))
 
 
-@query("AGG25_task_distribution", "SELECT p_type AS task, count(*) AS n FROM part GROUP BY p_type")
-def agg25(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_type").alias("task")).agg(F.count("*").alias("n"))
-
-
 @query("WIN25_most_similar", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 10")
 def win25(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")

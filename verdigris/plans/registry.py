@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference, more, records, texts, usage
+from verdigris.plans import benchmarking, inference, more, records, surfaces, texts, usage
 
-MODULES = (benchmarking, inference, texts, records, more, usage)
+MODULES = (benchmarking, inference, texts, records, more, usage, surfaces)
 
 
 def queries() -> dict:
