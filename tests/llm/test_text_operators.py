@@ -350,11 +350,12 @@ def test_common_terms_are_pruned_without_loss(monkeypatch):
     average = float(np.mean([c.sum() for _, c in docs]))
     weight = rng.random(400) + 0.1
     asked = docs[::35]
-    terms, owner = np.concatenate([t for t, _ in asked]), np.repeat(np.arange(len(asked)), [len(t) for t, _ in asked])
+    terms, sizes = np.concatenate([t for t, _ in asked]), np.array([len(t) for t, _ in asked])
+    packed = bm25.Queries.pack(np.arange(len(asked)), sizes, terms, weight[terms])
     for share, most, block in ((16, 1024, 4), (2, 1024, 64), (700, 20, 1), (1, 1, 7)):
         for name, value in (("COMMON_SHARE", share), ("MOST_COMMON", most), ("BLOCK", block), ("QUERIES_AT_ONCE", 7)):
             monkeypatch.setattr(bm25, name, value)
-        found = {q: (d.tolist(), s) for q, d, s in bm25.Shard.load(lists, average).search(terms, weight[terms], owner, len(asked), np.zeros(len(asked)), 10)}
+        found = {q: (d.tolist(), s) for q, d, s in bm25.Shard.load(lists, average).search(packed, np.zeros(len(asked)), 10)}
         for q, (t, _) in enumerate(asked):
             scores = np.array([sum(weight[x] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / average)) for x, n in zip(d, c) if x in set(t)) for d, c in docs])
             best = np.lexsort((np.arange(700), -scores.round(9)))[:10]
