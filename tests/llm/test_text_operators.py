@@ -96,6 +96,30 @@ def test_index_links_what_brute_force_links(spark, monkeypatch, large):
     assert [found.get(p, p) for p in signed] == expected
 
 
+def test_blocks_go_on_over_batches(monkeypatch):
+    """Edges are the same however the sorted rows fall into batches, and however few are indexed at a time."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = []
+    for block in range(7):
+        base = rng.getrandbits(63)
+        codes = sorted({base ^ sum({1 << rng.randrange(40) for _ in range(rng.randrange(3))}) for _ in range(rng.choice([1, 5, 90]))}, key=lambda c: simhash_rank(c))
+        rows += [(block, c) for c in codes]
+    whole = pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int64()), "fp": pa.array([c for _, c in rows], pa.int64())})
+    edges = lambda size: sorted((e["a"], e["b"]) for part in simhash.linked(iter([whole.slice(k, size) for k in range(0, len(whole), size)])) for e in part.to_pylist())
+    expected = edges(len(whole))
+    for at_once in (1, 10, 1 << 17):
+        monkeypatch.setattr(simhash, "INDEXED_AT_ONCE", at_once)
+        assert all(edges(size) == expected for size in (1, 7, 40, len(whole)))
+
+
+def simhash_rank(code):
+    for shift in (32, 16, 8, 4, 2, 1):
+        code ^= code >> shift
+    return code
+
+
 def test_dense_groups_close_without_all_pairs():
     codes = np.sort(np.array([(1 << a | 1 << b) for a in range(40) for b in range(a)], np.uint64))
     assert (simhash.links_within(codes, np.array([0])) == 0).all()

@@ -11,7 +11,11 @@ known to be in one component, so a group of copies costs no quadratic work. Out
 spanning star, never all pairs of a group.
 
 Blocks that hold very many fingerprints are dealt out again by the same argument: their other 48 bits
-are cut into four parts of 12, one of which two linked fingerprints share as well.
+are cut into four parts of 12, one of which two linked fingerprints share as well. A task holds one such
+block of distinct fingerprints at a time, which agree in 28 bits.
+
+Joins by a component's root or a fingerprint meet as many rows of one key as its group is large; adaptive
+execution splits such partitions, as nothing is collected within a key.
 
 Defined results: null and empty texts have the fingerprint zero, which links like any other;
 repeated rows share a fingerprint and a component; a null doc_id takes part but never names a
@@ -211,11 +215,10 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept.append((batch.column("block").to_numpy(), batch.column("fp").to_numpy()))
         size += len(batch)
-        if size >= INDEXED_AT_ONCE:
+        if size >= INDEXED_AT_ONCE and kept[0][0][0] != kept[-1][0][-1]:  # one block alone is kept until it ends
             block, fp = (np.concatenate(x) for x in zip(*kept))
             cut = int(np.searchsorted(block, block[-1]))  # the last block may go on
-            if cut:
-                yield edges(block[:cut], fp[:cut])
+            yield edges(block[:cut], fp[:cut])
             kept, size = [(block[cut:], fp[cut:])], len(block) - cut
     if size:
         yield edges(*(np.concatenate(x) for x in zip(*kept)))
