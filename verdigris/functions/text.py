@@ -118,6 +118,7 @@ def failure_mode(message: Column, status: Column) -> Column:
     """What kind of failure a message and an HTTP status (null if none) stand for; the first that holds."""
     low = F.lower(F.coalesce(message, F.lit("")))
     says = lambda *parts: low.rlike("|".join(parts))
+    # fixed values: the words and statuses, and their order
     code = F.coalesce(status, F.lit(0))
     return (
         F.when(says("timeout", "aborted"), "timeout")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
@@ -15,6 +10,7 @@ from verdigris.operators import benchmark, coherence, consistency, generation, i
 from verdigris.plans import inference as P
 from verdigris.plans import texts as T
 from verdigris.plans.fixtures import RESULTS, model_results, references, results, table, turns
+from verdigris.plans.surfaces import scratch
 from verdigris.sources import builtin, files, report
 from verdigris.streaming import monitoring
 
@@ -31,12 +27,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder of its own in the storage that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdigris-")
-    return os.path.join(base, uuid.uuid4().hex)
-
-
 # ranking parts
 
 

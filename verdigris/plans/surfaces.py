@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -191,6 +192,25 @@ def snk8(spark, sf):
     return files.jdbc(spark, table="CHANGED", **at).where("id >= 10").select(F.col("id"), F.col("name"))
 
 
+MANIFEST = {
+    "fleet_id": "nightly", "providers": ["openai:gpt-4", "local", "a:b:c"], "scenario_profiles": {"quick": {}, "long": {}},
+    "repositories": [{"repo_id": "r1", "scenarios": ["quick", "long"]}, {"repo_id": "r2", "scenarios": ["long"]}, {"repo_id": "r3", "scenarios": []}],
+}
+
+
+@query(
+    "SRC7_fleet_plan",
+    "SELECT r AS repo_id, s AS scenario, p AS provider, m AS model FROM (VALUES ('r1', 'quick'), ('r1', 'long'), ('r2', 'long')) a(r, s), (VALUES ('openai', 'gpt-4'), ('local', ''), ('a', 'b:c')) b(p, m)",
+)
+def src7(spark, sf):
+    """What a manifest asks to be run, read from a file of it and checked."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver reads manifests, nobody else
+        at = os.path.join(folder, "fleet.json")
+        with open(at, "w", encoding="utf-8") as out:
+            json.dump(MANIFEST, out)
+        return files.fleet_plan(spark, files.manifest(at))
+
+
 # plugins
 
 
