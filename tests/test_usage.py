@@ -250,3 +250,9 @@ def test_perturbations_by_index(spark):
     assert got[1, "detail_reduction", 0] == "Say this." and got[1, "detail_reduction", 1] == "Say this. Then that!" and got[2, "detail_reduction", 0] == "No marks"
     assert got[1, "order_change", 0] == "! Then that.Say this" and got[2, "order_change", 0] == "No marks" and got[1, "emphasis_change", 1] == "IMPORTANT: Say this. Then that!"
     assert len(got) == 2 * 8 * 3
+
+
+def test_extreme_inputs(spark):
+    got = {(r["size"], r["kind"]): r["text"] for r in spark.range(1).select(F.inline(generation.extreme([0, 3, 30], ("ascii", "emoji", "mixed", "none")))).collect()}
+    assert got[3, "ascii"] == got[3, "none"] == "ABC" and got[3, "emoji"] == "😀" and got[30, "ascii"] == "ABCDEFGHIJKLMNOPQRSTUVWXYZABCD"
+    assert len(got[30, "mixed"]) == 30 and got[3, "mixed"] == "AB一" and all(got[0, k] == "" for k in ("ascii", "emoji", "mixed"))

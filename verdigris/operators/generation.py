@@ -87,9 +87,25 @@ def constrained(df: DataFrame, least: int, most: int, forbidden: list[str]) -> D
     return df.where(F.char_length("text").between(least, most) & clean)
 
 
-def extreme(sizes: list[int], kinds=("a", "é", "\n", "0")) -> Column:
-    """Inputs of each size of each kind of character."""
-    return F.array(*[F.struct(F.lit(s).alias("size"), F.lit(k).alias("kind"), F.repeat(F.lit(k), F.lit(s)).alias("text")) for s in sizes for k in kinds])
+#: What extreme inputs are made of, by kind; emoji count twice.
+HAN = "".join(chr(0x4E00 + k) for k in range(100))
+EMOJI = "😀🎉🚀💡🔥✨🌟💪"
+CHARACTERS = {
+    "ascii": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "unicode": HAN, "emoji": EMOJI, "special": "!@#$%^&*()_+-=[]{}|;:'\",.<>?/\\`~",
+    "mixed": "".join(f"{a}{b}{han}😀" for a, b, han in zip("ACEGIKMOQSUWY", "BDFHJLNPRTVXZ", HAN)),
+}
+
+
+def extreme(sizes: list[int], kinds: tuple[str, ...] = tuple(CHARACTERS)) -> Column:
+    """Inputs of each size of each kind of characters, these in turn, so the same input comes out each time. A kind that
+    is not known is ASCII."""
+    made = []
+    for size in sizes:
+        for kind in kinds:
+            letters, n = CHARACTERS.get(kind, CHARACTERS["ascii"]), size // 2 if kind == "emoji" else size
+            text = F.substring(F.repeat(F.lit(letters), F.lit(-(-n // len(letters)))), 1, n)
+            made.append(F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), text.alias("text")))
+    return F.array(*made)
 
 
 def perturbed(prompts: DataFrame, indexes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:

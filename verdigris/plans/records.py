@@ -253,9 +253,17 @@ def gen6(spark, sf):
     return generation.sampled(results(spark, sf), 0.1, 7, "test_id").select("test_id", "status")
 
 
-@query("GEN7_extreme_inputs", "SELECT s AS size, k AS kind, md5(repeat(k, s)) AS hash FROM (VALUES (0), (1), (1000)) a(s), (VALUES ('a'), ('é'), (chr(10)), ('0')) b(k)")
+KINDS = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in generation.CHARACTERS.items())
+
+
+@query(
+    "GEN7_extreme_inputs",
+    f"""WITH k(kind, letters) AS (VALUES {KINDS}), z AS (SELECT s AS size, kind, letters, CASE kind WHEN 'emoji' THEN s // 2 ELSE s END AS n FROM k, (VALUES (0), (1), (7), (1000), (100000)) t(s))
+    SELECT size, kind, CAST(n AS INT) AS characters, md5(substring(repeat(letters, CAST(ceil(n / length(letters)::DOUBLE) AS BIGINT)), 1, n)) AS hash FROM z""",
+)
 def gen7(spark, sf):
-    return spark.range(1).select(F.inline(generation.extreme([0, 1, 1000]))).select("size", "kind", F.md5("text").alias("hash"))
+    made = spark.range(1).select(F.inline(generation.extreme([0, 1, 7, 1000, 100_000])))
+    return made.select("size", "kind", F.char_length("text").alias("characters"), F.md5("text").alias("hash"))
 
 
 @query("FLT7_constraints", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 100 AND 5000 AND NOT contains(lower(text), 'license') AND NOT contains(lower(text), 'idiot')")

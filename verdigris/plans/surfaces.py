@@ -374,6 +374,11 @@ def win15(spark, sf):
     return stress.typed_breaking_points(typed(spark, sf)).select("scenario", "provider", "model", "metric", F.col("threshold").cast("int").alias("threshold"), "pattern")
 
 
+@query("WIN17_typed_recovery", P.REQUESTS + P.RECOVERY + f" SELECT * FROM rec WHERE {KIND} IN ('spike', 'soak')")
+def win17(spark, sf):
+    return stress.typed_recovery(typed(spark, sf))
+
+
 # biased comparisons
 
 
