@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bm25, bpe, decontaminate, html_text, licenses, oracles, quality, shards, simhash, toxicity, url_filter
+from verdigris.llm import bm25, bpe, decontaminate, html_text, licenses, likelihood, oracles, quality, shards, simhash, toxicity, url_filter, vector_codes, whitening
 from verdigris.llm.common import held_out, table
 
 
@@ -71,6 +71,18 @@ def op10_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_nn_vote_quality": op2_nn_vote_quality,
@@ -82,9 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_blockmax_bm25": op8_blockmax_bm25,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_composite_density": op10_composite_density,
+    "op11_likelihood_ratio": op11_likelihood_ratio,
+    "op12_digit_slice_whitening": op12_digit_slice_whitening,
+    "op13_product_codes": op13_product_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_decontamination": oracles.DECONTAMINATION,
     "op7_host_reputation": oracles.HOST_REPUTATION,
+    "op11_likelihood_ratio": oracles.LIKELIHOOD_RATIO,
+    "op13_product_codes": oracles.PRODUCT_CODES,
 }
