@@ -4,10 +4,9 @@
 ``nearest``  value number max(0, ceil(p n) - 1): nearest rank
 ``middle``   the mean of the two middle values (p is ignored)
 
-Values are counted before they are shuffled, and a running count over each group's distinct values
-finds the ranks, so no group is ever collected into a list. What a task sorts for a group are its distinct
-values, which for durations in whole milliseconds are bounded, however many rows there are. Where the whole
-table is the group, it is sorted range by range, whatever its values.
+Values are counted before they are shuffled, and the distinct ones are cut into sorted ranges, a group's like a whole
+table's. Counts by group and range tell which ranges hold the ranks asked for; only in these values are put in order, so no
+group is collected into a list, and a hot group of distinct values is many tasks' work.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.running import running_sum
+from verdigris.functions.ranges import ranged
+from verdigris.functions.running import group, sums_before
 
 
 def _at(kind: str, p: float, n: Column) -> tuple[Column, Column]:
@@ -42,19 +42,18 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: Mapping[str,
     Null values are left out; a group without values has no row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    if keys:
-        ordered = Window.partitionBy(*keys).orderBy("_v")
-        ranked = counts.withColumn("_upto", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    else:  # a whole table is summed up range by range
-        ranked = running_sum(counts, "_v", F.col("_c"), "_upto").crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))
+    fixed = ranged(counts.select(group(keys).alias("_g"), "_v", "_c"), "_g", "_v")
+    ranks = {name: _at(kind, p, F.col("_total")) for name, (kind, p) in wanted.items()}
+    inside = lambda rank: (rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_sum"))
+    asked = sums_before(fixed, F.col("_c")).where(F.greatest(*[inside(rank) for pair in ranks.values() for rank in pair], F.lit(False)))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = fixed.join(asked.drop("_sum"), ["_g", "_range"]).withColumn("_upto", upto)
     out = []
-    for name, (kind, p) in wanted.items():
-        low, high = _at(kind, p, F.col("_n"))
+    for name, (low, high) in ranks.items():
         first = F.min(F.when(F.col("_upto") >= low, F.col("_v")))
         last = F.min(F.when(F.col("_upto") >= high, F.col("_v")))
-        out.append((first if kind != "middle" else (first + last) / 2).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+        out.append((first if wanted[name][0] != "middle" else (first + last) / 2).alias(name))
+    return ranked.groupBy("_g").agg(*out).select(*[F.col("_g")[k].alias(k) for k in keys], *wanted)
 
 
 def with_percentiles(summary: DataFrame, df: DataFrame, keys: list[str], value: str, wanted: Mapping[str, tuple[str, float]], empty=0) -> DataFrame:

@@ -1,24 +1,31 @@
-"""Running sums over a whole table, without a task that sees it all."""
+"""Running sums, without a task that sees a whole table or a whole hot group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: So many ranges a table is cut into.
-RANGES = 64
-
-
-def running_sum(df: DataFrame, by: str, value: Column, into: str, *then: Column) -> DataFrame:
-    """Adds the sum of ``value`` (whole numbers) over all rows up to each one, in the order of the number ``by`` and, within equal
-    ones, of ``then``. The table is cut at approximate quantiles of ``by`` into ranges; each is summed up, the sums
-    before it are one broadcast line of at most ``RANGES`` numbers, and only ranges are sorted. Rows of one ``by``
-    lie in one range."""
-    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    cuts = df.agg(F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(by, shares, 1000), F.array().cast(f"array<{df.schema[by].dataType.simpleString()}>")))).alias("_cuts"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(by)))).drop("_cuts")  # one line
-    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_s"))
-    line = sums.agg(F.map_from_entries(F.collect_list(F.struct("_range", "_s"))).alias("_sums"))
-    before = F.aggregate(F.filter(F.map_keys("_sums"), lambda k: k < F.col("_range")), F.lit(0).cast("long"), lambda s, k: s + F.element_at("_sums", k))
-    within = F.sum(value).over(Window.partitionBy("_range").orderBy(by, *then).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn(into, within).crossJoin(F.broadcast(line)).withColumn(into, F.col(into) + before).drop("_range", "_sums")
+from verdigris.functions.ranges import ranged
+
+
+def group(keys: list[str]) -> Column:
+    """The keys as one value, which equals its like where keys are null too."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("whole"))
+
+
+def sums_before(fixed: DataFrame, value: Column) -> DataFrame:
+    """(_g, _range, _sum, _before, _total): of each group in each range, what is in it, in the group's ranges before it, and in
+    all of the group. ``fixed`` is in ranges of ``_g`` and an order; a group has a line for each range it is in."""
+    lines = fixed.groupBy("_g", "_range").agg(F.sum(value).alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumns({"_before": upto - F.col("_sum"), "_total": F.sum("_sum").over(Window.partitionBy("_g"))})
+
+
+def running_sum(df: DataFrame, by: str, value: Column, into: str, *then: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of ``value`` (whole numbers) over all rows of a group of ``keys`` up to each one, in the order of ``by`` and, within equal
+    ones, of ``then``. ``df`` is evaluated once and sorted range by range; what lies before a range is a broadcast line for
+    each range that goes on with a group, so there are no more of them than ranges."""
+    fixed = ranged(df.withColumn("_g", group(list(keys))), "_g", by, *then)
+    before = sums_before(fixed, value).where(F.col("_before") != 0).select("_g", "_range", "_before")
+    within = F.sum(value).over(Window.partitionBy("_g", "_range").orderBy(by, *then).rowsBetween(Window.unboundedPreceding, 0))
+    return fixed.withColumn(into, within).join(F.broadcast(before), ["_g", "_range"], "left").withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).drop("_g", "_range", "_before")

@@ -54,7 +54,7 @@ def scored(models: DataFrame, weights: dict[str, float] = OVERALL) -> DataFrame:
 def ranked(models: DataFrame, weights: dict[str, float] = OVERALL) -> DataFrame:
     """Rank 1 is the best; equal scores keep the order of ``ordinal``."""
     down = scored(models, weights).withColumn("_down", -F.round("overall", 9))
-    return running_sum(down, "_down", F.lit(1), "rank", F.col("ordinal")).withColumn("rank", F.col("rank").cast("int")).drop("_down")
+    return running_sum(down, "_down", F.lit(1), "rank", "ordinal").withColumn("rank", F.col("rank").cast("int")).drop("_down")
 
 
 def traits(models: DataFrame) -> DataFrame:

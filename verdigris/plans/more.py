@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
+from verdigris.functions.storage import scratch
 from verdigris.operators import benchmark, coherence, consistency, generation, inference, ranking, verification
 from verdigris.plans import inference as P
 from verdigris.plans import texts as T
 from verdigris.plans.fixtures import RESULTS, model_results, references, results, table, turns
-from verdigris.plans.surfaces import scratch
 from verdigris.sources import builtin, files, report
 from verdigris.streaming import monitoring
 

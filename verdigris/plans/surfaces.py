@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from verdigris import plugins
+from verdigris.functions.storage import scratch
 from verdigris.operators import benchmark, bias, contents, generation, multimodal, records, stress
 from verdigris.plans import inference as P
 from verdigris.plans.fixtures import RESULTS, results, table
@@ -30,15 +31,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def scratch(spark) -> str:
-    """A folder of its own in the storage that all executors share."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or (context._jsc.sc().getCheckpointDir().isDefined() and context._jsc.sc().getCheckpointDir().get())
-    if not base and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(base or tempfile.mkdtemp(prefix="verdigris-"), uuid.uuid4().hex)
-
-
 # files
 
 
