@@ -14,6 +14,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,58 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], states: int
 
     whole = [T.StructField(c, T.IntegerType()) for c in ("_before", "_after")]
     return fixed.mapInArrow(replayed, T.StructType([*rows.schema.fields, *whole]))
+
+
+def tied(counts: DataFrame, by: str, within: float, into: str = "_first") -> DataFrame:
+    """``counts`` (a row for each value of ``by``) with the first value of each one's group of ties: in rising order, a group takes in
+    what is nearer than ``within`` to its first value, and the next value begins another. A group may go on over any
+    number of ranges: each range tells where it would end, by where a group that comes into it would let go, and the open
+    group is carried through these. A range's values are in memory at a time."""
+    fixed, names = ranged(counts, by), counts.columns
+
+    def values(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        held = [b for b in batches if b.num_rows]
+        return held, np.concatenate([b.column(by).to_numpy(zero_copy_only=False) for b in held]).astype(float) if held else np.zeros(0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, v = values(batches)
+        if not held:
+            return
+        last, nxt = [0.0] * len(v), len(v)  # where the chain of groups that begins at each value begins its last one
+        for i in range(len(v) - 1, -1, -1):
+            while nxt > i + 1 and v[nxt - 1] - v[i] >= within:
+                nxt -= 1
+            last[i] = last[nxt] if nxt < len(v) else float(v[i])
+        # a group from before lets go at one of the values nearer than ``within`` to the first; equal ends are one step
+        steps, i = [], 0
+        while i < len(v) and (i == 0 or v[i - 1] - v[0] < within):
+            if not steps or steps[-1][1] != last[i]:
+                steps.append([float(v[i]), last[i]])
+            steps[-1][0] = float(v[i])
+            i += 1
+        at = held[0].column("_range")[0].as_py()
+        yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "line": [pickle.dumps((float(v[-1]), steps))]})
+
+    starts, opened = {}, None
+    for at, (most, steps) in sorted((r["at"], pickle.loads(r["line"])) for r in fixed.mapInArrow(each, "at int, line binary").collect()):
+        if opened is not None:
+            starts[at] = opened
+        if opened is None or most - opened >= within:
+            opened = next((end for upto, end in steps if opened is None or upto - opened >= within), None)
+    shared = counts.sparkSession.sparkContext.broadcast(starts)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if first is None:
+                first = shared.value.get(batch.column("_range")[0].as_py())
+            out = []
+            for v in batch.column(by).to_numpy(zero_copy_only=False).astype(float).tolist():
+                if first is None or v - first >= within:
+                    first = v
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.float64())], names=[*names, into])
+
+    return fixed.mapInArrow(grouped, T.StructType([*counts.schema.fields, T.StructField(into, T.DoubleType())]))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import stats
+from verdigris.functions.ranges import tied
 from verdigris.functions.running import running_sum
 
 ALPHA = 0.05
@@ -39,15 +40,20 @@ def welch(m: DataFrame, confidence: float = 0.95) -> DataFrame:
     return m.withColumns({"ci_low": difference - reach, "ci_high": difference + reach, "df": F.floor("df"), "significant": F.col("p_value") < 1 - confidence})
 
 
+#: Fixed value: values nearer than this to the first of their group are ties.
+TIE = 1e-10
+
+
 def mann_whitney(values: DataFrame, side: str, first, second, value: str) -> DataFrame:
     """U, z and the normal two-sided p, ties sharing their mean rank; no tie or continuity correction.
 
-    Ranks come from counts per distinct value, so equal values are never spread over rows.
+    Values are ties if they are nearer than ``TIE`` to the first of their group, in rising order. Ranks come from counts per
+    group, so ties are never spread over rows. Values that are not numbers are left out.
     """
-    counts = values.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        F.count("*").alias("c"), F.count_if(F.col(side) == first).alias("c1")
-    )
-    ranked = running_sum(counts, "v", F.col("c"), "upto").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
+    kept = values.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select(side, F.col(value).cast("double").alias("v")).where(~F.isnan("v"))
+    counts = kept.groupBy("v").agg(F.count("*").alias("c"), F.count_if(F.col(side) == first).alias("c1"))
+    groups = tied(counts, "v", TIE, "first").groupBy("first").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"))
+    ranked = running_sum(groups, "first", F.col("c"), "upto").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     t = ranked.agg(F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum("c1").cast("double").alias("n1"), F.sum(F.col("c") - F.col("c1")).cast("double").alias("n2"))
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     t = t.withColumn("u", F.least(u1, F.col("n1") * F.col("n2") - u1))

@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from verdigris.functions.ranges import border_lines, carried, ranged, runs
 from verdigris.functions.running import running_sum
 
 #: Weights of the evaluation scores, and of the parts of the overall score.
@@ -139,37 +141,80 @@ def route(models: DataFrame, profiles: DataFrame, strategy: str, task: str | Non
     return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "ordinal"))).select("place", "model", "score")
 
 
-def smoothed_profiles(observations: DataFrame, weight: float = 0.1) -> DataFrame:
-    """Exponentially weighted quality and latency per model, in order of time; latency is cut to whole
-    milliseconds at each step, so the order matters and the fold is per model."""
+def smoothed_profiles(observations: DataFrame, weight: float = 0.1, reruns: list | None = None) -> DataFrame:
+    """Exponentially weighted quality and latency per model, in order of time (``ts``, then ``tie``); latency is cut to whole
+    milliseconds at each step. Observations without a quality or latency don't count.
+
+    A hot model's fold is split over ranges of time. Quality is an affine map of what it was, so a range's is known at
+    once. A step of the latency never lets a higher latency fall below a lower one: from the lowest and the highest there can be,
+    a range is folded twice, and where both come out alike it is the same from anywhere between. Ranges where they don't are
+    folded again when it is known where they begin; their numbers are put into ``reruns``.
+    """
     kind = observations.schema["model"].dataType.simpleString()
-    rows = observations.select("model", "ts", "tie", F.col("quality").cast("double").alias("q"), F.col("latency").cast("double").alias("l"))
-    return rows.repartition("model").sortWithinPartitions("model", "ts", "tie").select("model", "q", "l").mapInPandas(folded(weight), f"model {kind}, quality double, latency_ms long, samples long")
-
-
-def folded(weight: float):
-    """Rows sorted by model and time -> one row a model. A batch at a time is in memory, and one model's state."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, q, l, n = None, 0.0, 0.0, 0
-        done: list[tuple] = []
-        for batch in batches:
-            for model, quality_, latency in zip(batch["model"].tolist(), batch["q"].tolist(), batch["l"].tolist()):
-                if n and model != now:
-                    done.append((now, round(q, 6), int(l), n))
-                    n = 0
-                if n:
-                    q, l = q * (1 - weight) + quality_ * weight, float(math.floor(l * (1 - weight) + latency * weight))
-                else:
-                    now, q, l = model, quality_, latency
-                n += 1
-            if done:
-                yield pd.DataFrame(done, columns=["model", "quality", "latency_ms", "samples"])
-                done = []
-        if n:
-            yield pd.DataFrame([(now, round(q, 6), int(l), n)], columns=["model", "quality", "latency_ms", "samples"])
-
-    return fold
+    rows = observations.select("model", "ts", "tie", F.col("quality").cast("double").alias("q"), F.col("latency").cast("double").alias("l")).dropna(subset=["q", "l"])
+    fixed = ranged(rows, "model", "ts", "tie")
+    ends = fixed.agg(F.min("l").alias("low"), F.max("l").alias("high")).first()
+    lines = border_lines(fixed, ["model"], lambda: Stretch(weight, ends["low"], ends["high"]), Stretch.after)
+
+    def again(at: int, model, start: tuple) -> tuple:
+        if reruns is not None:
+            reruns.append(at)
+        own = fixed.where((F.col("_range") == at) & F.col("model").eqNullSafe(F.lit(model)))
+        return border_lines(own, ["model"], lambda: Stretch(weight, ends["low"], ends["high"], start), Stretch.after)[0][2].now
+
+    def combine(at: int, start: tuple | None, line: Stretch) -> tuple:
+        if start is None:
+            return line.now
+        return line.from_start(start) or again(at, line.model, start)
+
+    starts, going_on = carried(lines, combine)
+    shared = rows.sparkSession.sparkContext.broadcast((starts, going_on))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, going_on = shared.value
+        done, held, at = [], None, None
+        for new, _, part in runs(batches, ["model"]):
+            if new:
+                start = starts.get(part[0]["_range"]) if held is None else None
+                done += [held] if held else []
+                held = Stretch(weight, ends["low"], ends["high"], start)
+            at = part[0]["_range"]
+            held = held.after(part)
+        done += [held] if held and at not in going_on else []
+        if done:
+            out = [(d.model, round(d.now[0], 6), int(d.now[1]), d.now[2]) for d in done]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["model", "quality", "latency_ms", "samples"])
+
+    types = [to_arrow_type(observations.schema["model"].dataType), pa.float64(), pa.int64(), pa.int64()]
+    return fixed.mapInArrow(last, f"model {kind}, quality double, latency_ms long, samples long")
+
+
+class Stretch:
+    """A model's observations in a range: what they come to from ``start`` (quality, latency, samples; None: from nothing), and what they make
+    of any other start."""
+
+    def __init__(self, weight: float, low: float, high: float, start: tuple | None = None):
+        self.weight, self.model, self.n = weight, None, 0
+        self.now = start
+        self.keep, self.add = 1.0, 0.0
+        self.low, self.high = float(math.floor(low)), float(high)
+
+    def after(self, part: list[dict]) -> Stretch:
+        w, now, low, high, keep, add = self.weight, self.now, self.low, self.high, self.keep, self.add
+        for row in part:
+            q, l = row["q"], row["l"]
+            now = (now[0] * (1 - w) + q * w, float(math.floor(now[1] * (1 - w) + l * w)), now[2] + 1) if now else (q, l, 1)
+            keep, add = keep * (1 - w), add * (1 - w) + q * w
+            met = low == high
+            low = float(math.floor(low * (1 - w) + l * w))
+            high = low if met else float(math.floor(high * (1 - w) + l * w))
+        self.model, self.n = part[-1]["model"], self.n + len(part)
+        self.now, self.low, self.high, self.keep, self.add = now, low, high, keep, add
+        return self
+
+    def from_start(self, start: tuple) -> tuple | None:
+        """What they come to from another start; None where its latency matters to the end."""
+        return (start[0] * self.keep + self.add, self.low, start[2] + self.n) if self.low == self.high else None
 
 
 def cheaper_model(stats: DataFrame, least_quality: float) -> DataFrame:
