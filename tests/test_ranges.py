@@ -129,10 +129,10 @@ def plain_profile(seen, w=0.1):
 
 @pytest.mark.parametrize("calm", [False, True])
 def test_profiles_of_a_hot_model(spark, many_ranges, calm):
-    """Where latencies hardly change, neighbouring ones stay apart, and ranges have to be folded again."""
+    """Where latencies don't change, what comes from below stays below, and ranges have to be folded again."""
     rng = random.Random(6)
     rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), i, i % 3, rng.random(), 100.0 + (0 if calm and i > 5 else rng.randrange(4000))) for i in range(1500)]
-    rows += [("hot", 3, 9, None, 5.0), ("a", 4, 9, 0.5, None)]
+    rows += [("hot", 3, 9, None, 5.0), ("a", 4, 9, 0.5, None), ("a", 5, 9, 0.5, 10.0)]
     again = []
     got = {r["model"]: (r["quality"], r["latency_ms"], r["samples"]) for r in ranking.smoothed_profiles(spark.createDataFrame(rows, "model string, ts long, tie long, quality double, latency double"), reruns=again).collect()}
     by = defaultdict(list)
@@ -140,4 +140,4 @@ def test_profiles_of_a_hot_model(spark, many_ranges, calm):
         if q is not None and l is not None:
             by[m].append((t, q, l))
     assert got == {m: plain_profile(seen) for m, seen in by.items()}
-    assert len(again) >= 4 if calm else len(again) <= 3  # short stretches don't always meet
+    assert (len(again) > 2) == calm, again  # short stretches don't always meet
