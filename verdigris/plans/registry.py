@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigris.plans import benchmarking, inference, more, records, surfaces, texts, usage
+from verdigris.plans import benchmarking, inference, more, records, streams, surfaces, texts, usage
 
-MODULES = (benchmarking, inference, texts, records, more, usage, surfaces)
+MODULES = (benchmarking, inference, texts, records, more, usage, surfaces, streams)
 
 
 def queries() -> dict:
