@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.edits import edit_distance, element_distance
+
 
 def _ratio(top: Column, bottom: Column, empty: float) -> Column:
     return F.when(bottom == 0, F.lit(empty)).otherwise(top.cast("double") / bottom)
@@ -19,7 +21,7 @@ def set_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length; two empty texts are alike."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - edit_distance(a, b) / longer)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -110,30 +112,16 @@ def expected_overlap(content: Column, expected: Column) -> Column:
 
 
 def with_word_error_rate(df: DataFrame, reference: str, hypothesis: str, into: str) -> DataFrame:
-    """Adds word edits over reference words. Built-in edit distance works on letters, so each word is
-    first stood for by one letter, by its place among the pair's distinct words. What lambdas look up
-    is a column of its own, made once per row."""
+    """Adds word edits over reference words."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    df = df.withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))}).withColumn("_d", F.array_union("_r", "_h"))
-    df = df.withColumn("_m", F.map_from_arrays("_d", F.transform("_d", lambda _, i: _letter(i))))
-    coded = lambda c: F.array_join(F.transform(c, lambda w: F.element_at("_m", w)), "")
-    edits = F.levenshtein(coded("_r"), coded("_h"))
-    rate = F.when(F.size("_r") == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(edits / F.size("_r"))
-    return df.withColumn(into, rate).drop("_r", "_h", "_d", "_m")
-
-
-def _letter(k: Column) -> Column:
-    """The k-th letter from U+10000 on, beyond the surrogates: for k up to a million, more words than a pair of texts of
-    20 MB can have. As UTF-8, which four bytes are for all of them."""
-    code = k + 0x10000
-    low = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
-    units = [F.shiftright(code, 18).bitwiseOR(F.lit(240)), low(12), low(6), low(0)]
-    return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(u), 2, "0") for u in units])), "UTF-8")
+    df = df.withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))})
+    rate = F.when(F.size("_r") == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(element_distance(F.col("_r"), F.col("_h")) / F.size("_r"))
+    return df.withColumn(into, rate).drop("_r", "_h")
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     n = F.char_length(reference)
-    return F.when(n == 0, F.when(F.char_length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / n)
+    return F.when(n == 0, F.when(F.char_length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(reference, hypothesis) / n)
 
 
 def _dot(a: Column, b: Column) -> Column:

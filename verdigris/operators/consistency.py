@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
+from verdigris.functions.edits import edit_distance
 
 #: The outputs of a prompt whose pairs are compared.
 MOST_OUTPUTS = 1_000
@@ -69,7 +70,7 @@ def spread(outputs: DataFrame) -> DataFrame:
     stats = []
     for c in ("words", "chars"):
         stats += [F.round(F.avg(c), 6).alias(f"avg_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.stddev_pop(c), 6).alias(f"sd_{c}"), F.round(F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0), 6).alias(f"cv_{c}")]
-    edits = pairs(outputs).groupBy("group_id").agg(F.round(F.avg(F.levenshtein("a", "b")), 6).alias("avg_edits"), F.max(F.levenshtein("a", "b")).alias("max_edits"))
+    edits = pairs(outputs).withColumn("_edits", edit_distance(F.col("a"), F.col("b"))).groupBy("group_id").agg(F.round(F.avg("_edits"), 6).alias("avg_edits"), F.max("_edits").alias("max_edits"))
     return sized.groupBy("group_id").agg(*stats).join(edits, "group_id", "left")
 
 

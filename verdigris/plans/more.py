@@ -223,7 +223,7 @@ def txt10(spark, sf):
 def txt18(spark, sf):
     from verdigris.plans.fixtures import claims
 
-    return verification.evidence(claims(spark, sf), references(spark, sf)).where("contradicts").groupBy("claim_id").agg(F.count("*").alias("n"))
+    return verification.support(claims(spark, sf), references(spark, sf)).where("against > 0").select("claim_id", F.col("against").alias("n"))
 
 
 @query("TXT21_claim_types", T.SENTENCES + f" SELECT {T.TYPE} AS type, count(*) AS n FROM sc GROUP BY 1")

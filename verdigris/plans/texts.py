@@ -303,7 +303,7 @@ def jn5(spark, sf):
 
 @query("TXT19_hallucinations", HALLUCINATIONS + " SELECT * FROM h")
 def txt19(spark, sf):
-    return verification.hallucinations(verification.evidence(claims(spark, sf), references(spark, sf)))
+    return verification.hallucinations(verification.support(claims(spark, sf), references(spark, sf)))
 
 
 @query(
@@ -314,7 +314,7 @@ def txt19(spark, sf):
     + ", " + ", ".join(f"count(*) FILTER (severity = '{k}') AS severity_{k}" for k in ("low", "medium", "high", "critical")) + " FROM h",
 )
 def agg14(spark, sf):
-    return verification.hallucination_stats(verification.hallucinations(verification.evidence(claims(spark, sf), references(spark, sf))))
+    return verification.hallucination_stats(verification.hallucinations(verification.support(claims(spark, sf), references(spark, sf))))
 
 
 def sentences_of_turns(spark, sf):
