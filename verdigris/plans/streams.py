@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.storage import scratch
 from verdigris.plans.fixtures import table
-from verdigris.streaming import monitoring, stateful
+from verdigris.streaming import monitoring, stateful, topics
 
 Q, SQL = {}, {}
 DELAY_DAYS, TIMEOUT_HOURS = 8, 12
@@ -109,3 +109,22 @@ def str10_history(spark, sf):
     ended = happened(spark, sf).where("action = 'complete'").select("event_id", F.col("event_id").alias("job_id"), "ts")
     stream_in = stream_of(spark, ended, at)
     return stateful.latest_of(ran(spark, lambda: stateful.completed_history(stream_in), at)).select("job_id", F.col("place").cast("int").alias("place"))
+
+
+TOPIC = {"signup": "benchmark.progress", "click": "evaluation.results", "purchase": "system.metrics", "error": "plugin.events", "view": "request.logs"}
+TOPICS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOPIC.items()) + " END"
+
+
+@query(
+    "SNK10_topic_bus",
+    f"SELECT event_id AS id, {TOPICS_SQL} AS topic FROM events WHERE event_type IN ('error', 'view') UNION ALL SELECT event_id, {TOPICS_SQL} FROM events WHERE event_type IN ('error', 'view') AND event_id % 10 = 0",
+)
+def snk10_bus(spark, sf):
+    """What a stream publishes to the bus, as a subscriber of two topics receives it."""
+    at = scratch(spark)
+    topic = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in TOPIC.items()])
+    sent = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), topic.alias("topic"))
+    topics.publish(stream_of(spark, sent, at).drop("ts"), f"{at}/bus", f"{at}/publisher")
+    stream = topics.subscribe(spark, f"{at}/bus", "event_id long", ["request.logs", "plugin.events"], 8)
+    monitoring.write_stream(stream, f"{at}/out", f"{at}/subscriber").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select(F.col("event_id").alias("id"), "topic")

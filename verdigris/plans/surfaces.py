@@ -15,6 +15,7 @@ from verdigris.operators import benchmark, bias, contents, generation, multimoda
 from verdigris.plans import inference as P
 from verdigris.plans.fixtures import RESULTS, results, table
 from verdigris.plans.records import EVENTS, events
+from verdigris.sources import database as keyed
 from verdigris.sources import files, repositories
 from verdigris.streaming import monitoring
 
@@ -184,6 +185,22 @@ def snk8(spark, sf):
     return files.jdbc(spark, table="CHANGED", **at).where("id >= 10").select(F.col("id"), F.col("name"))
 
 
+@query(
+    "SNK8_keyed_upsert",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal::DOUBLE END AS score
+    FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""",
+)
+def snk8_keyed(spark, sf):
+    """Runs inserted or updated by key; nulls keep what is there, and a run that comes again changes nothing."""
+    at, types = database(spark), {"name": "VARCHAR(100)", "status": "VARCHAR(20)"}
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("pending").alias("status"), F.col("c_acctbal").cast("double").alias("score"))
+    none = {k: F.lit(None).cast(kind) for k, kind in (("name", "string"), ("score", "double"))}
+    done = c.where("id % 2 = 0").withColumns(none | {"status": F.lit("completed")})
+    for run, rows in ((1, c.where("id % 3 <> 0")), (2, done), (2, done.withColumn("status", F.lit("late")))):
+        keyed.upsert(rows, ["id"], run, table="CUSTOMER_RUNS", column_types=types, **at)
+    return files.jdbc(spark, table="CUSTOMER_RUNS", **at).select("id", "name", "status", "score")
+
+
 MANIFEST = {
     "fleet_id": "nightly", "providers": ["openai:gpt-4", "local", "a:b:c"], "scenario_profiles": {"quick": {}, "long": {}},
     "repositories": [{"repo_id": "r1", "scenarios": ["quick", "long"]}, {"repo_id": "r2", "scenarios": ["long"]}, {"repo_id": "r3", "scenarios": []}],
