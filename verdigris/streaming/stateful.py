@@ -58,17 +58,18 @@ class InOrder(StatefulProcessor):
         came = [r for part in rows for r in zip(part["ts"].astype("int64").tolist(), part["event_id"].tolist(), part["what"].tolist())]
         passed = timerValues.getCurrentWatermarkInMs()
         self.waiting.appendList(came)
-        for at in sorted({r[0] for r in came}):
-            self.handle.registerTimer(max(at, passed + 1))
+        self.handle.registerTimer(max(min(came)[0], passed + 1))  # for the first of them; it sets the next
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = sorted(set(map(tuple, self.waiting.get()))) if self.waiting.exists() else []
         due = [r for r in held if r[0] <= passed]
-        if len(due) < len(held):
-            self.waiting.put([r for r in held if r[0] > passed])
-        elif held:
+        if rest := held[len(due) :]:
+            self.handle.registerTimer(rest[0][0])
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
             self.waiting.clear()
         out = self.applied(key, due, passed)
         if out:
