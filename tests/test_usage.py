@@ -1,10 +1,12 @@
 """Costs, confidence, health, sensitivity and verification by worked examples."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.functions import percentiles, running, similarity, text
+from verdigris.functions import edits, percentiles, running, similarity, text
 from verdigris.operators import confidence, consistency, contents, costs, generation, inference, metrics, ranking, records, search, sensitivity, stress, verification
 
 
@@ -207,10 +209,41 @@ def test_mean_cosine_without_pairs(spark):
     assert {r["group_id"]: r["cosine"] for r in consistency.tfidf_cosine(outputs).collect()} == {"a": 1.0, "b": 0.0, "c": 1.0, "d": 0.0, "e": 0.0}
 
 
-def test_large_groups_are_refused_where_pairs_are_made(spark, monkeypatch):
-    monkeypatch.setattr(consistency, "MOST_OUTPUTS", 2)
-    with pytest.raises(ValueError):
-        consistency.pairs(spark.createDataFrame([("a", i, "x") for i in range(3)], "group_id string, ordinal int, content string"))
+def test_pairs_of_large_groups_are_dealt_out(spark, monkeypatch):
+    outputs = spark.createDataFrame([("a", i, f"x{i % 7}") for i in range(40)] + [("b", 1, "x"), ("c", 1, None), ("c", 2, "y")], "group_id string, ordinal int, content string")
+    monkeypatch.setattr(consistency, "OUTPUTS_AT_ONCE", 6)
+    got = [(r["group_id"], r["i"], r["j"]) for r in consistency.pairs(outputs).collect()]
+    assert sorted(got) == sorted([("a", i, j) for i in range(40) for j in range(i + 1, 40)] + [("c", 1, 2)])
+
+
+def test_mean_likeness_of_hot_groups(spark):
+    """Equal outputs count as often as they occur, and pairs that share nothing count too."""
+    rng = random.Random(3)
+    words = ["a", "bc", "river", "bridge", "the", "old"]
+    some = [" ".join(rng.choice(words) for _ in range(rng.randrange(5))) for _ in range(12)] + ["", "q", "zz"]
+    rows = [("hot", i, rng.choice(some)) for i in range(60)] + [("same", i, "one text") for i in range(5)] + [("two", 1, "q"), ("two", 2, "zz"), ("single", 1, "x"), ("null", 1, None), ("null", 2, None)]
+    got = {r["group_id"]: r for r in consistency.pair_similarity(spark.createDataFrame(rows, "group_id string, ordinal int, content string")).collect()}
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    twos = lambda t: {tuple(w[i : i + 2]) for w in [t.split(" ")] for i in range(len(w) - 1)}
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    assert got.keys() == {"hot", "same", "two"}
+    for g, r in got.items():
+        texts = [t.strip() for k, _, t in rows if k == g]
+        both = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+        mean = lambda f: sum(f(a, b) for a, b in both) / len(both)
+        assert (r["pairs"], r["all_equal"]) == (len(both), len(set(texts)) == 1)
+        assert abs(r["char_3gram"] - mean(lambda a, b: jaccard(grams(a), grams(b)))) < 2e-6
+        assert abs(r["word_2gram"] - mean(lambda a, b: jaccard(twos(a), twos(b)))) < 2e-6
+        assert abs(r["levenshtein"] - mean(lambda a, b: 1 - edits.edits(a, b) / max(len(a), len(b)) if a or b else 1.0)) < 2e-6
+
+
+def test_a_hundred_thousand_outputs_have_an_exact_mean(spark):
+    outputs = spark.range(100_000).select(F.lit("g").alias("group_id"), F.col("id").cast("int").alias("ordinal"), F.concat(F.lit("text number "), (F.col("id") % 4).cast("string")).alias("content"))
+    got = consistency.set_similarity(outputs).first()
+    n, m = 100_000, 25_000
+    same, apart = 4 * m * (m - 1) / 2, 6 * m * m
+    assert got["pairs"] == n * (n - 1) // 2
+    assert abs(got["char_3gram"] - (same + apart * 10 / 12) / got["pairs"]) < 2e-6 and abs(got["word_2gram"] - (same + apart / 3) / got["pairs"]) < 2e-6
 
 
 # generated content

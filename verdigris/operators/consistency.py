@@ -1,41 +1,75 @@
-"""Consistency of repeated outputs. Rows: group_id, ordinal, content; a group is the outputs of one
-prompt, few by construction (callers run a prompt a bounded number of times), so its pairs are few.
+"""Consistency of repeated outputs. Rows: group_id, ordinal, content; a group is the outputs of one prompt.
+
+Means of set similarities come from shared elements, equal outputs counted once; what is defined by pairs has a large group's pairs
+made by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
 from verdigris.functions.edits import edit_distance
 
-#: The outputs of a prompt whose pairs are compared.
-MOST_OUTPUTS = 1_000
+#: About so many outputs of a group a task compares with the group's others.
+OUTPUTS_AT_ONCE = 1_000
 
 
 def pairs(outputs: DataFrame) -> DataFrame:
-    """Each pair of a group once, i before j; groups of over ``MOST_OUTPUTS`` outputs are refused."""
-    largest = outputs.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > MOST_OUTPUTS:
-        raise ValueError(f"a group of {largest} outputs; pairs are made of at most {MOST_OUTPUTS}")
-    a = outputs.select("group_id", F.col("ordinal").alias("i"), F.col("content").alias("a"))
-    b = outputs.select("group_id", F.col("ordinal").alias("j"), F.col("content").alias("b"))
-    return a.join(b, "group_id").where("i < j")
+    """Each pair of a group once, i before j. A large group's outputs are dealt over several tasks, each of which has
+    the group's others beside it, so no task makes all pairs of a hot group."""
+    sizes = outputs.groupBy("group_id").agg(F.ceil(F.count("*") / OUTPUTS_AT_ONCE).cast("int").alias("_parts"))
+    dealt = outputs.join(sizes, "group_id")
+    a = dealt.select("group_id", F.pmod(F.xxhash64("ordinal", "content"), F.col("_parts")).cast("int").alias("_part"), F.col("ordinal").alias("i"), F.col("content").alias("a"))
+    b = dealt.select("group_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("ordinal").alias("j"), F.col("content").alias("b"))
+    return a.join(b, ["group_id", "_part"]).where("i < j").drop("_part")
+
+
+def distinct_outputs(outputs: DataFrame) -> DataFrame:
+    """(group_id, content, m): a group's contents in their normal form, each once, and how often it occurs; null ones are none."""
+    normal = outputs.select("group_id", X.normalized(F.col("content")).alias("content")).where("content IS NOT NULL AND group_id IS NOT NULL")
+    return normal.groupBy("group_id", "content").agg(F.count("*").alias("m"))
+
+
+def mean_jaccard(contents: DataFrame, elements: Column, into: str) -> DataFrame:
+    """(group_id, into): the mean Jaccard of the pairs of a group's outputs, from ``distinct_outputs``. Equal outputs are alike, and so are
+    two without elements; of others only those that share an element are met, by a join on the elements, and counted
+    as often as they occur. What shares nothing adds nothing, and is never made a pair."""
+    sets = contents.withColumns({"_e": elements, "_id": F.xxhash64("content")}).withColumn("_n", F.size("_e"))
+    m, none = F.col("m").cast("double"), F.col("_n") == 0
+    on = lambda c, value: F.coalesce(F.sum(F.when(c, value)), F.lit(0.0))
+    alike = (F.sum(m * (m - 1)) + F.pow(on(none, m), 2) - on(none, m * m)) / 2
+    base = sets.groupBy("group_id").agg((F.pow(F.sum(m), 2) - F.sum(m)).alias("_twice"), alike.alias("_alike"))
+    # explode would have its filter of empty lists pushed down to the table, where each element's expression holds the whole text's
+    each = sets.select("group_id", "_id", "m", "_n", F.explode_outer("_e").alias("_x")).where("_x IS NOT NULL")
+    other = each.select("group_id", "_x", *[F.col(c).alias(f"{c}2") for c in ("_id", "m", "_n")])
+    met = each.join(other, ["group_id", "_x"]).where("_id < _id2").groupBy("group_id", "_id", "_id2", "m", "m2", "_n", "_n2").agg(F.count("*").alias("_shared"))
+    shared = met.groupBy("group_id").agg(F.sum(F.col("m") * F.col("m2") * (F.col("_shared") / (F.col("_n") + F.col("_n2") - F.col("_shared")))).alias("_sum"))
+    mean = (F.col("_alike") + F.coalesce("_sum", F.lit(0.0))) / (F.col("_twice") / 2)
+    return base.where("_twice > 0").join(shared, "group_id", "left").select("group_id", F.round(mean, 6).alias(into))
+
+
+def set_similarity(outputs: DataFrame) -> DataFrame:
+    """Group means over pairs: character 3-grams and word 2-grams; their number, and whether all are equal. Groups of one
+    output have no pair and no row."""
+    once = distinct_outputs(outputs)
+    n = F.sum("m")
+    base = once.groupBy("group_id").agg((n * (n - 1) / 2).cast("long").alias("pairs"), (F.count("*") == 1).alias("all_equal")).where("pairs > 0")
+    chars = mean_jaccard(once, S.char_ngrams(F.col("content"), 3), "char_3gram")
+    words = mean_jaccard(once.withColumn("_w", F.split("content", " ")), S.word_ngrams(F.col("_w"), 2), "word_2gram")
+    return base.join(chars, "group_id").join(words, "group_id")
 
 
 def pair_similarity(outputs: DataFrame) -> DataFrame:
-    """Group means over pairs: edit distance, character 3-grams, word 2-grams; and whether all are equal."""
-    p = pairs(outputs.withColumn("content", X.normalized(F.col("content"))))
-    words = lambda c: F.split(c, " ")
-    return p.groupBy("group_id").agg(
-        F.count("*").alias("pairs"),
-        F.min(F.col("a") == F.col("b")).alias("all_equal"),
-        F.round(F.avg(S.levenshtein_similarity(F.col("a"), F.col("b"))), 6).alias("levenshtein"),
-        F.round(F.avg(S.ngram_jaccard(F.col("a"), F.col("b"), 3)), 6).alias("char_3gram"),
-        F.round(F.avg(S.set_jaccard(S.word_ngrams(words(F.col("a")), 2), S.word_ngrams(words(F.col("b")), 2))), 6).alias("word_2gram"),
-    )
+    """``set_similarity`` and the mean likeness by edit distance, of which each pair of different contents is one."""
+    once = distinct_outputs(outputs)
+    apart = pairs(once.withColumnRenamed("m", "_m").select("group_id", F.struct(F.xxhash64("content").alias("id"), "_m").alias("ordinal"), "content"))
+    weight = (F.col("i._m") * F.col("j._m")).cast("double")
+    edits = apart.groupBy("group_id").agg(F.sum(weight * (1 - S.levenshtein_similarity(F.col("a"), F.col("b")))).alias("_apart"))
+    found = set_similarity(outputs).join(edits, "group_id", "left")
+    return found.withColumn("levenshtein", F.round(1 - F.coalesce("_apart", F.lit(0.0)) / F.col("pairs"), 6)).select("group_id", "pairs", "all_equal", "levenshtein", "char_3gram", "word_2gram")
 
 
 def group_jaccard(outputs: DataFrame) -> DataFrame:

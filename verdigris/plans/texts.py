@@ -158,7 +158,7 @@ def sim1(spark, sf):
     SELECT group_id, count(*) AS pairs, bool_and(same) AS all_equal, round(avg({jaccard_sql('ca', 'cb')}), 6) AS char_3gram, round(avg({jaccard_sql('wa', 'wb')}), 6) AS word_2gram FROM g GROUP BY group_id""",
 )
 def sim4(spark, sf):
-    return consistency.pair_similarity(turns(spark, sf)).drop("levenshtein")
+    return consistency.set_similarity(turns(spark, sf))
 
 
 @query(
