@@ -289,3 +289,21 @@ def test_extreme_inputs(spark):
     got = {(r["size"], r["kind"]): r["text"] for r in spark.range(1).select(F.inline(generation.extreme([0, 3, 30], ("ascii", "emoji", "mixed", "none")))).collect()}
     assert got[3, "ascii"] == got[3, "none"] == "ABC" and got[3, "emoji"] == "😀" and got[30, "ascii"] == "ABCDEFGHIJKLMNOPQRSTUVWXYZABCD"
     assert len(got[30, "mixed"]) == 30 and got[3, "mixed"] == "AB一" and all(got[0, k] == "" for k in ("ascii", "emoji", "mixed"))
+
+
+def test_judges_answers(spark):
+    said = {
+        1: '{"score": 0.85, "reasoning": "Good", "confidence": 0.9}', 2: 'Here:\n{"score": 1, "reasoning": "x {y}"}\nDone.', 3: '{"score": 1.5, "reasoning": "r"}', 4: '{"score": "0.5", "reasoning": "r"}',
+        5: '{"score": 0.5}', 6: "nothing", 7: None, 8: '{"score": 0.5, "reasoning": 3}', 9: '{"score": 0, "reasoning": "r", "confidence": "sure"}', 10: "} then {", 11: '{"reasoning": "r"}', 12: '{"score": -0.1, "reasoning": "r"}', 13: "",
+    }
+    got = {r["id"]: (r["problem"], r["score"], r["reasoning"], r["confidence"]) for r in verification.judged_answers(spark.createDataFrame(list(said.items()), "id int, answer string"), "answer").drop("answer").collect()}
+    no = lambda why: (why, None, None, None)
+    assert got == {
+        1: (None, 0.85, "Good", 0.9), 2: (None, 1.0, "x {y}", 1.0), 3: no("score out of range"), 4: no("no score"), 5: no("no reasoning"), 6: no("no JSON"), 7: no("no JSON"), 8: no("no reasoning"),
+        9: (None, 0.0, "r", 1.0), 10: no("no JSON"), 11: no("no score"), 12: no("score out of range"), 13: no("no JSON"),
+    }
+
+
+def test_pooled_effect(spark):
+    rows = spark.createDataFrame([(3, 1.0, 1.0, 5, 2.0, 2.0), (1, 1.0, 0.0, 1, 2.0, 0.0), (4, 1.0, 0.0, 4, 3.0, 0.0)], "n1 int, mean1 double, sd1 double, n2 int, mean2 double, sd2 double")
+    assert [round(r[0], 9) for r in rows.select(inference.pooled_effect()).collect()] == [round(1 / (18 / 6) ** 0.5, 9), 0, 0]

@@ -67,6 +67,12 @@ def cohens_d() -> Column:
     return F.when(pooled > 0, (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled)).otherwise(0.0)
 
 
+def pooled_effect() -> Column:
+    """Cohen's d of the second side against the first, from n1, mean1, sd1, n2, mean2, sd2; 0 if nothing varies."""
+    spread = F.try_divide((F.col("n1") - 1) * F.pow("sd1", 2) + (F.col("n2") - 1) * F.pow("sd2", 2), F.col("n1") + F.col("n2") - 2)
+    return F.when(spread > 0, (F.col("mean2") - F.col("mean1")) / F.sqrt(spread)).otherwise(0.0)
+
+
 def mean_interval(values: DataFrame, keys: list[str], value: str, confidence: float = 0.95) -> DataFrame:
     m = values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
     reach = F.when(F.col("n") > 1, stats.quantile_t(F.lit(1 - (1 - confidence) / 2), (F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt(F.col("n"))).otherwise(0.0)
@@ -120,6 +126,7 @@ def regressions(runs: DataFrame, keys: list[str], confidence: float = 0.95) -> D
         "percentage_change": F.when(F.col("mean1") != 0, change / F.col("mean1")).otherwise(0.0),
         "t": F.when(se == 0, 0.0).otherwise(change / se),
         "p_value": F.when(se == 0, 1.0).otherwise(2 * (1 - stats.normal_cdf(F.abs(change / se)))),
+        "effect": pooled_effect(),
         "worse_up": pick(1),
     })
     pct = F.col("percentage_change")

@@ -200,6 +200,15 @@ def sta12(spark, sf):
     return by_provider(spark, sf).select("category", F.round(d, 6).alias("d"), stats.effect_band(d).alias("band"))
 
 
+POOLED = "CASE WHEN n1 + n2 > 2 AND ((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) > 0 THEN (mean2 - mean1) / sqrt(((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) / (n1 + n2 - 2)) ELSE 0.0 END"
+
+
+@query("STA12_pooled_effect", REGRESSIONS + f", x AS (SELECT *, {POOLED} AS d FROM h) SELECT provider, model, metric, round(d, 6) AS d, {BAND} AS band FROM x")
+def sta12_pooled(spark, sf):
+    found = inference.regressions(runs(spark, sf), ["provider", "model"])
+    return found.select("provider", "model", "metric", F.round("effect", 6).alias("d"), stats.effect_band(F.col("effect")).alias("band"))
+
+
 QUALITY = """(coalesce(faithfulness * 0.4, 0) + coalesce(relevance * 0.3, 0) + coalesce(coherence * 0.3, 0)) /
   (CASE WHEN faithfulness IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN relevance IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN coherence IS NULL THEN 0 ELSE 0.3::DOUBLE END)"""
 SCORED = f"""WITH {MODELS}, q AS (SELECT *, {QUALITY} AS quality FROM m WHERE success), k AS (SELECT *, CASE WHEN cost <= 0 THEN quality ELSE quality / cost END AS per_cost FROM q),

@@ -212,11 +212,20 @@ def txt9(spark, sf):
     return coherence.violations(T.documents(spark, sf)).select("id", F.round(coherence.heuristic(), 6).alias("score"))
 
 
-@query("TXT10_coherence_overall", "SELECT p_partkey, round(greatest(0.0, least(1.0, 0.35 * (p_size / 50.0) + 0.25 * (p_size % 10 / 10.0) + 0.25 * (p_size % 7 / 7.0) + 0.15 * (p_size % 3 / 3.0) - 0.1 * (p_size % 2))), 6) AS score FROM part")
+@query(
+    "TXT10_coherence_overall",
+    VIOLATIONS
+    + """, d AS (SELECT *, markers / greatest(words, 1)::DOUBLE AS density, greatest(words, 1)::DOUBLE AS n FROM v),
+    p AS (SELECT *, greatest(0.0, least(1.0, 0.85 - 0.08 * short - 0.03 * (long_sentences + single_words + repeats) - CASE WHEN words < 10 THEN 0.1 ELSE 0 END + CASE WHEN density > 0.02 AND density < 0.15 THEN 0.05 ELSE 0 END))::DOUBLE AS flow FROM d)
+    SELECT id, round(greatest(0.0, least(1.0, 0.35 * flow + 0.25 * greatest(0.0, 1 - 10 * single_words / n) + 0.25 * greatest(0.0, 1 - 10 * repeats / n) + 0.15 * greatest(0.0, 1 - 40 * long_sentences / n) - 0.1 * (repeats > 5)::INT)), 9) AS score FROM p""",
+)
 def txt10(spark, sf):
-    k = F.col("p_size")
-    part = table(spark, sf, "part").select("p_partkey", (k / 50.0).alias("logical_flow"), (k % 10 / 10.0).alias("grammar"), (k % 7 / 7.0).alias("consistency"), (k % 3 / 3.0).alias("readability"), (k % 2).alias("high"))
-    return part.select("p_partkey", F.round(coherence.overall(F.col("high")), 6).alias("score"))
+    """The parts are what the text's own violations leave, by the words it has; many repeats are of high severity."""
+    v = coherence.violations(T.documents(spark, sf)).withColumn("flow", coherence.heuristic())
+    n = F.greatest("words", F.lit(1))
+    left = lambda c, k: F.greatest(F.lit(0.0), 1 - k * F.col(c) / n)
+    parts = v.withColumns({"logical_flow": F.col("flow"), "grammar": left("single_words", 10), "consistency": left("repeats", 10), "readability": left("long_sentences", 40)})
+    return parts.select("id", F.round(coherence.overall((F.col("repeats") > 5).cast("int")), 9).alias("score"))
 
 
 @query("TXT18_contradictions", T.EVIDENCE + " SELECT claim_id, count(*) AS n FROM e WHERE contradicts GROUP BY claim_id")
@@ -320,8 +329,10 @@ def src5(spark, sf):
 
 @query("SNK5_executive_report")
 def snk5(spark, sf):
-    page = report.executive_report(results(spark, sf))
-    return spark.createDataFrame([(page, len(page))], "html string, size long")
+    """The page's lines, as executors write them."""
+    at = f"{scratch(spark)}/report"
+    report.write_report(results(spark, sf), at)
+    return spark.read.text(at)
 
 
 @query("AGG24_running_provider_stats", "SELECT 'provider-' || user_id % 5 AS provider, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success_rate FROM events GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
+from verdigris.functions.storage import scratch
 from verdigris.operators import benchmark, generation, records
 from verdigris.plans.fixtures import MODELS, RESULTS, model_results, results, table
 from verdigris.sources import files
@@ -361,9 +362,14 @@ def src7(spark, sf):
     return table(spark, sf, "part").select(part[0].alias("provider"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")).alias("model")).distinct()
 
 
-@query("SRC10_decisions_by_agent", "SELECT event_id, event_type, value FROM events WHERE event_type = 'error' AND event_id % 2 = 0")
+@query("SRC10_decisions_by_agent", "SELECT event_id, event_type, value FROM events WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id = 7")
 def src10(spark, sf):
-    return table(spark, sf, "events").where("event_type = 'error' AND event_id % 2 = 0").select("event_id", "event_type", "value")
+    """Persisted decisions: one agent's, as its files have them, and one by its id."""
+    at = f"{scratch(spark)}/decisions"
+    d = table(spark, sf, "events").where("event_id % 2 = 0 OR event_id = 7").select(F.col("event_id").alias("id"), F.col("event_type").alias("agent_id"), "value")
+    files.persist_decisions(d, at)
+    found = files.decisions(spark, at, "error").where("id % 2 = 0").unionByName(files.decision(spark, at, 7))
+    return found.select(F.col("id").alias("event_id"), F.col("agent_id").alias("event_type"), "value")
 
 
 @query("SET3_keyword_sets", "SELECT c_custkey, CAST(len(list_intersect(a, b)) AS INT) AS common, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS either FROM (SELECT c_custkey, list_distinct(string_split(lower(c_mktsegment), '')) AS a, list_distinct(string_split(lower(c_name), '')) AS b FROM customer)")

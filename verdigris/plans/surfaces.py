@@ -92,14 +92,13 @@ def snk12(spark, sf):
 
 @query(
     "SNK12_agent_table",
-    f"""WITH {RESULTS}, s AS (SELECT provider, model, count(*) FILTER (status = 'success') / count(*)::DOUBLE AS rate, min(duration_ms) AS p50, max(duration_ms) AS p95, avg(duration_ms) AS mean, sum(cost) AS cost FROM rc GROUP BY ALL)
+    f"""WITH {RESULTS}, k AS (SELECT provider, model, count(*) FILTER (status = 'success') / count(*)::DOUBLE AS rate, list_sort(list(duration_ms) FILTER (status = 'success')) AS l, avg(duration_ms) FILTER (status = 'success') AS mean, sum(cost) AS cost FROM rc GROUP BY ALL),
+    s AS (SELECT provider, model, round(rate, 6) AS rate, coalesce(l[greatest(1, CAST(ceil(0.5 * len(l)) AS BIGINT))], 0) AS p50, coalesce(l[greatest(1, CAST(ceil(0.95 * len(l)) AS BIGINT))], 0) AS p95, round(coalesce(mean, 0.0), 6) AS mean, round(coalesce(cost, 0.0), 6) AS cost FROM k)
     SELECT printf('| %-8s | %-5s | %11.1f%% | %8.0f | %8.0f | %9.0f | $%9.4f |', provider, model[1:5], rate * 100, p50::DOUBLE, p95::DOUBLE, mean, cost) AS line FROM s UNION ALL VALUES ('{files.AGENT_TABLE[0]}'), ('{files.AGENT_TABLE[1]}')""",
 )
 def snk12b(spark, sf):
-    """The least and the largest duration stand in for the percentiles."""
-    s = results(spark, sf).groupBy("provider", "model").agg(
-        F.avg((F.col("status") == "success").cast("double")).alias("success_rate"), F.min("duration_ms").alias("p50"), F.max("duration_ms").alias("p95"), F.avg("duration_ms").alias("mean"), F.sum(benchmark.cost()).alias("total_cost")
-    )
+    """The aggregated statistics of models, as the command prints them."""
+    s = benchmark.model_stats(results(spark, sf)).withColumnsRenamed({"latency_p50": "p50", "latency_p95": "p95", "latency_mean": "mean"})
     return files.formatted(s, "table", "provider", "model").select("line")
 
 

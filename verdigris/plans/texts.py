@@ -581,15 +581,23 @@ def txt24b(spark, sf):
 
 @query(
     "TXT12_judge_json",
-    """WITH j AS (SELECT event_id, 'Verdict: {"score": ' || (event_id % 120) / 100.0 || '} thanks' AS said FROM events)
-    SELECT event_id, CASE WHEN (event_id % 120) / 100.0 <= 1 THEN (event_id % 120) / 100.0 END AS score, 1.0::DOUBLE AS confidence FROM j""",
+    """WITH j AS (SELECT event_id, (event_id % 120) / 100.0 AS s, event_id % 7 AS k FROM events)
+    SELECT event_id, CASE WHEN k = 5 THEN 'no JSON' WHEN k = 4 THEN 'no score' WHEN k = 3 THEN 'no reasoning' WHEN s > 1 THEN 'score out of range' END AS problem,
+      CASE WHEN k NOT IN (3, 4, 5) AND s <= 1 THEN s END AS score, CASE WHEN k NOT IN (3, 4, 5) AND s <= 1 THEN 'because ' || event_id END AS reasoning,
+      CASE WHEN k NOT IN (3, 4, 5) AND s <= 1 THEN CASE WHEN k IN (0, 6) THEN round(s / 2, 3) ELSE 1.0 END END::DOUBLE AS confidence FROM j""",
 )
 def txt12(spark, sf):
-    """A judge's answer: the JSON from the first brace to the last; scores out of range are refused,
-    confidence is 1 by default."""
-    said = F.concat(F.lit('Verdict: {"score": '), (F.col("event_id") % 120 / 100.0).cast("string"), F.lit("} thanks"))
-    found = F.from_json(F.regexp_extract(said, r"(?s)(\{.*\})", 1), "score double, confidence double")
-    return table(spark, sf, "events").select("event_id", F.when(found["score"].between(0, 1), found["score"]).alias("score"), F.coalesce(found["confidence"], F.lit(1.0)).alias("confidence"))
+    """Judges' answers: with words around the JSON or none, without a confidence or with one that is no number, without a score or
+    reasoning, without JSON."""
+    k, score, why = F.col("event_id") % 7, (F.col("event_id") % 120 / 100.0).cast("string"), F.concat(F.lit('"reasoning": "because '), "event_id", F.lit('"'))
+    sure = F.format_string('"confidence": %.3f', F.round(F.col("event_id") % 120 / 100.0 / 2, 3))
+    full = F.concat(F.lit('{"score": '), score, F.lit(", "), why)
+    said = (
+        F.when(k == 0, F.concat(F.lit("Verdict: "), full, F.lit(", "), sure, F.lit("} thanks"))).when(k == 1, F.concat(full, F.lit("}"))).when(k == 2, F.concat(full, F.lit(', "confidence": "high"}')))
+        .when(k == 3, F.concat(F.lit('{"score": '), score, F.lit("}"))).when(k == 4, F.concat(F.lit('{"score": "good", '), why, F.lit("}"))).when(k == 5, "I would rather not say")
+        .otherwise(F.concat(F.lit("  "), full, F.lit(", "), sure, F.lit(', "more": {"a": [1, 2]}}\n')))
+    )
+    return verification.judged_answers(table(spark, sf, "events").select("event_id", said.alias("answer")), "answer").drop("answer")
 
 
 @query(

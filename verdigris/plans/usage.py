@@ -137,13 +137,11 @@ def sta16(spark, sf):
 @query(
     "STA16_regression_confidence",
     P.REGRESSIONS
-    + """ SELECT provider, model, round(0.3 * least(1.0, log10(max(n1) + max(n2) + 1) / 3) + 0.3 * avg(1 - p) + 0.2 * avg(least(1.0, abs(absolute) / 2)) + 0.15 * least(1.0, coalesce(avg(greatest(0.0, 1 - sd1 / abs(mean1))) FILTER (mean1 <> 0), 0.5)) + 0.05 * least(1.0, count(*) / 4.0), 6) AS confidence
-    FROM (SELECT *, mean2 - mean1 AS absolute FROM h) GROUP BY provider, model""",
+    + """ SELECT provider, model, round(0.3 * least(1.0, log10(max(n1) + max(n2) + 1) / 3) + 0.3 * avg(1 - p) + 0.2 * avg(least(1.0, abs(effect) / 2)) + 0.15 * least(1.0, coalesce(avg(greatest(0.0, 1 - sd1 / abs(mean1))) FILTER (mean1 <> 0), 0.5)) + 0.05 * least(1.0, count(*) / 4.0), 6) AS confidence
+    FROM (SELECT *, """ + P.POOLED + """ AS effect FROM h) GROUP BY provider, model""",
 )
 def sta16b(spark, sf):
-    """The absolute change stands for the effect's size."""
-    found = tests.regressions(P.runs(spark, sf), ["provider", "model"]).withColumn("effect", F.col("absolute_change"))
-    return confidence.of_regressions(found, ["provider", "model"])
+    return confidence.of_regressions(tests.regressions(P.runs(spark, sf), ["provider", "model"]), ["provider", "model"])
 
 
 @query(
@@ -165,15 +163,18 @@ def sta16c(spark, sf):
     "STA16_stress_confidence",
     P.REQUESTS
     + P.BREAKS
-    + """, x AS (SELECT scenario, provider, model, count(*) AS n, count(*) FILTER (success) / count(*)::DOUBLE AS rate FROM q GROUP BY ALL), y AS (SELECT x.*, br.pattern IS NOT NULL AS breaks FROM x LEFT JOIN br USING (scenario, provider, model))
-    SELECT round(0.25 * least(1.0, log10(sum(n) + 1) / 3) + 0.2 * least(1.0, count(DISTINCT scenario) / 5.0) + 0.25 * greatest(0.0, 1 - stddev_pop(rate)) + 0.15 * CASE WHEN bool_or(breaks) THEN 1 ELSE 0.5 END + 0.15 * 0.5, 6) AS confidence FROM y""",
+    + P.RECOVERY
+    + """, x AS (SELECT scenario, provider, model, count(*) AS n, count(*) FILTER (success) / count(*)::DOUBLE AS rate FROM q GROUP BY ALL), y AS (SELECT x.*, br.pattern IS NOT NULL AS breaks, rec.recovery_ms IS NOT NULL AS recovered FROM x LEFT JOIN br USING (scenario, provider, model) LEFT JOIN rec USING (scenario, provider, model))
+    SELECT round(0.25 * least(1.0, log10(sum(n) + 1) / 3) + 0.2 * least(1.0, count(DISTINCT scenario) / 5.0) + 0.25 * greatest(0.0, 1 - stddev_pop(rate)) + 0.15 * CASE WHEN bool_or(breaks) THEN 1 ELSE 0.5 END + 0.15 * CASE WHEN bool_or(recovered) THEN 1 ELSE 0.5 END, 6) AS confidence FROM y""",
 )
 def sta16d(spark, sf):
-    """A category is a type of test; no recovery is observed."""
+    """A category is a type of test."""
     r = P.requests(spark, sf)
     s = r.groupBy("scenario", "provider", "model").agg(F.count("*").alias("requests"), F.avg(F.col("success").cast("double")).alias("success_rate"))
     broken = stressed.breaking_points(r).select("scenario", "provider", "model", F.lit(True).alias("b"))
-    s = s.join(broken, ["scenario", "provider", "model"], "left").withColumns({"breaks": F.coalesce("b", F.lit(False)), "recovered": F.lit(False), "test_type": F.col("scenario")})
+    back = stressed.recovery(r).select("scenario", "provider", "model", F.col("recovery_ms").isNotNull().alias("recovered"))
+    s = s.join(broken, ["scenario", "provider", "model"], "left").join(back, ["scenario", "provider", "model"], "left")
+    s = s.withColumns({"breaks": F.coalesce("b", F.lit(False)), "test_type": F.col("scenario")})
     return confidence.of_stress(s)
 
 

@@ -100,6 +100,11 @@ def decisions(spark: SparkSession, path: str, agent: str | None = None) -> DataF
     return (found if agent is None else found.where(F.col("agent_id") == agent)).dropDuplicates(["id"])
 
 
+def decision(spark: SparkSession, path: str, key) -> DataFrame:
+    """The persisted event of an id, once; no row if there is none."""
+    return spark.read.parquet(path).where(F.col("id") == key).limit(1)
+
+
 def export_view(results: DataFrame) -> DataFrame:
     """The 14 columns of the result CSV as text; nulls are empty, cost has six decimals. The prompt's
     length is that of the prompt."""
