@@ -134,6 +134,14 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_one_of_each_group_stays_by_ids_of_any_type(spark):
+    rows = [("b", "one two three four"), ("a10", "one two three four"), ("a2", "one two three four"), (None, "one two three four"), ("", "alone in the world now"), (None, "nobody knows this text here")]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id string, text string, row int, key string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("", rows[4][1]), ("None", rows[5][1]), ("a10", rows[1][1])]
+
+
 # op5
 
 
@@ -349,6 +357,30 @@ def test_top_k_is_brute_force(spark, monkeypatch):
         assert [(d, round(s, 6)) for _, d, s in sorted(got[q])] == [(d, round(-s, 6)) for s, _, d in best]
 
 
+def test_equal_texts_score_equal_in_every_shard(spark, monkeypatch):
+    """Copies lie in many shards, more of them than fit into the best: the smallest ids are found, by any cut into shards."""
+    some = random_texts(40, 17, 80)
+    rng = random.Random(5)
+    rows = [(i, some[rng.randrange(40)]) for i in range(900)]
+    rng.shuffle(rows)
+    docs = texts(spark, rows).repartition(4)
+    asked = docs.where("doc_id < 25")
+    cuts = []
+    for shard, common in ((37, 16), (300, 2), (4096, 16), (64, 900)):
+        monkeypatch.setattr(bm25, "DOCS_IN_SHARD", shard)
+        monkeypatch.setattr(bm25, "COMMON_SHARE", common)
+        cuts.append(sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in bm25.top_k(docs, asked, 7).collect()))
+    assert cuts[0] == cuts[1] == cuts[2] == cuts[3]
+    text_of = dict(rows)
+    for q in {c[0] for c in cuts[0]}:
+        hits = [c for c in cuts[0] if c[0] == q]
+        score_of = {}
+        for _, _, d, score in hits:
+            assert score_of.setdefault(text_of[d], score) == score
+        same = sorted(d for d, t in rows if t == text_of[q])
+        assert [d for _, _, d, _ in hits][: len(same)] == same[:7]
+
+
 def test_repeated_queries_are_one_and_texts_of_one_id_are_ranked_apart(spark):
     docs = texts(spark, list(enumerate(random_texts(60, 31))))
     one, other = docs.where("doc_id = 3"), docs.where("doc_id = 4").withColumn("doc_id", F.lit(3).cast("long"))

@@ -291,8 +291,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group one document stays: the one with the smallest doc_id (null last), then the
     smallest hash of its text; of its repeated rows, one."""
     row = F.struct("*")
-    # rows without an id come last; they are told apart by their text
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    # rows without an id come last; they are told apart by their text. Ids are of any type that sorts
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     prints = checkpoint(docs.select(key.alias("key"), fingerprint("text").alias("fp")))
     stay = grouped(prints, F.col("key")).select(F.col("first").alias("key")).distinct()
     return docs.select(key.alias("key"), row.alias("row")).join(stay, "key").dropDuplicates(["key"]).select("row.*")
