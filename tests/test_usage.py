@@ -307,3 +307,18 @@ def test_judges_answers(spark):
 def test_pooled_effect(spark):
     rows = spark.createDataFrame([(3, 1.0, 1.0, 5, 2.0, 2.0), (1, 1.0, 0.0, 1, 2.0, 0.0), (4, 1.0, 0.0, 4, 3.0, 0.0)], "n1 int, mean1 double, sd1 double, n2 int, mean2 double, sd2 double")
     assert [round(r[0], 9) for r in rows.select(inference.pooled_effect()).collect()] == [round(1 / (18 / 6) ** 0.5, 9), 0, 0]
+
+
+def test_improvement_is_a_lower_mean(spark):
+    rng = np.random.default_rng(4)
+    samples = {"lower": (rng.normal(10, 1, 40), rng.normal(8, 2, 30)), "higher": (rng.normal(8, 1, 40), rng.normal(10, 2, 30)), "same": (rng.normal(8, 3, 12), rng.normal(8, 3, 9)), "one": (np.array([1.0]), np.array([2.0, 3.0]))}
+    rows = [(g, len(a), float(a.mean()), float(a.var(ddof=1)) if len(a) > 1 else 0.0, len(b), float(b.mean()), float(b.var(ddof=1))) for g, (a, b) in samples.items()]
+    got = {r["g"]: r for r in inference.improvement(spark.createDataFrame(rows, "g string, n1 int, mean1 double, var1 double, n2 int, mean2 double, var2 double")).collect()}
+    assert {g: r["improved"] for g, r in got.items()} == {"lower": True, "higher": False, "same": False}
+    for g, r in got.items():
+        a, b = samples[g]
+        t = (a.mean() - b.mean()) / (a.var(ddof=1) / len(a) + b.var(ddof=1) / len(b)) ** 0.5
+        d = (a.mean() - b.mean()) / (((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2)) ** 0.5
+        assert abs(r["t"] - t) < 1e-9 and (r["p_value"] < 0.05) == (abs(t) > 2.1)
+        start = "Significant" if r["improved"] else "No significant"
+        assert r["interpretation"] == f"{start} improvement (p={r['p_value']:.4f}, d={d:.2f})"

@@ -67,6 +67,15 @@ def cohens_d() -> Column:
     return F.when(pooled > 0, (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled)).otherwise(0.0)
 
 
+def improvement(m: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Moments with improved and interpretation: an improvement is a significantly lower mean on the second side, whatever
+    the metric. Groups without a test are left out."""
+    tested = welch(m, confidence).withColumn("d", cohens_d())
+    better = F.col("significant") & (F.col("mean2") < F.col("mean1"))
+    say = lambda what: F.format_string(f"{what} (p=%.4f, d=%.2f)", "p_value", "d")
+    return tested.withColumns({"improved": better, "interpretation": F.when(better, say("Significant improvement")).otherwise(say("No significant improvement"))})
+
+
 def pooled_effect() -> Column:
     """Cohen's d of the second side against the first, from n1, mean1, sd1, n2, mean2, sd2; 0 if nothing varies."""
     spread = F.try_divide((F.col("n1") - 1) * F.pow("sd1", 2) + (F.col("n2") - 1) * F.pow("sd2", 2), F.col("n1") + F.col("n2") - 2)

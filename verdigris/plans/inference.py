@@ -124,11 +124,8 @@ def sta7(spark, sf):
 
 @query("STA8_improvement")
 def sta8(spark, sf):
-    """An improvement is a significantly lower mean on the second side, whatever the metric."""
-    m = inference.welch(by_provider(spark, sf)).withColumn("d", inference.cohens_d())
-    better = F.col("significant") & (F.col("mean2") < F.col("mean1"))
-    say = F.when(better, F.format_string("Significant improvement (p=%.4f, d=%.2f)", "p_value", "d")).otherwise(F.format_string("No significant improvement (p=%.4f, d=%.2f)", "p_value", "d"))
-    return m.select("category", better.alias("improved"), say.alias("interpretation"))
+    """Provider N against A."""
+    return inference.improvement(by_provider(spark, sf)).select("category", "improved", "interpretation")
 
 
 VERDICT = """, v AS (SELECT *, (mean2 - mean1) / sqrt(var1 / n1 + var2 / n2) AS t, abs(mean2 - mean1) / sqrt((var1 + var2) / 2) AS effect FROM m),
