@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import edits, percentiles, running, similarity, text
+from verdigris.functions import similarity as S
 from verdigris.operators import confidence, consistency, contents, costs, generation, inference, metrics, ranking, records, search, sensitivity, stress, verification
 
 
@@ -322,3 +323,26 @@ def test_improvement_is_a_lower_mean(spark):
         assert abs(r["t"] - t) < 1e-9 and (r["p_value"] < 0.05) == (abs(t) > 2.1)
         start = "Significant" if r["improved"] else "No significant"
         assert r["interpretation"] == f"{start} improvement (p={r['p_value']:.4f}, d={d:.2f})"
+
+
+def test_blocks_compare_each_pair_of_a_group_once(spark, monkeypatch):
+    """Groups of many blocks, long texts, characters beyond the first plane, nulls and empty texts, against plain sets."""
+    monkeypatch.setattr(consistency, "OUTPUTS_IN_BLOCK", 2)
+    monkeypatch.setattr(consistency, "BLOCKS_AT_ONCE", 3)
+    rng = random.Random(5)
+    some = ["", "ab", "abab", "😀😃😀😃x", "日本語の文", None, "x" * 30_000] + ["".join(rng.choice("ab cé😀") for _ in range(rng.randrange(40))) for _ in range(20)]
+    rows = [("hot", i, rng.choice(some)) for i in range(50)] + [("two", 7, "abcdef"), ("two", 3, "abcxef"), ("one", 1, "x"), (None, 1, "x"), (None, 2, "x")]
+    outputs = spark.createDataFrame(rows, "group_id string, ordinal int, content string")
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t or "") - n + 1)}
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+
+    def weighted(a, b):
+        if a == b and a is not None:
+            return 1.0
+        both = [(w, jaccard(grams(a, n), grams(b, n))) for n, w in S.NGRAM_WEIGHTS.items() if grams(a, n) and grams(b, n)]
+        return sum(w * j for w, j in both) / sum(w for w, _ in both) if both else 0.0
+
+    for measure, plain in ((S.strict_ngrams, lambda a, b: jaccard(grams(a, 3), grams(b, 3))), (S.weighted_ngrams, weighted)):
+        got = [tuple(r) for r in consistency.pair_measure(outputs, measure, "s").select("group_id", "i", "j", "s").collect()]
+        expected = {(g, i, j): plain(a, b) for g, i, a in rows for h, j, b in rows if g and g == h and i < j}
+        assert len(got) == len(expected) and all(abs(s - expected[g, i, j]) < 1e-9 for g, i, j, s in got)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from verdigris.functions import grams
 from verdigris.functions.edits import edit_distance, element_distance
 
 
@@ -50,19 +56,35 @@ def strict_ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
 NGRAM_WEIGHTS = {2: 0.2, 3: 0.3, 4: 0.3, 5: 0.2}
 
 
+def weighted_ngrams(texts: Sequence[str | None]) -> np.ndarray:
+    """Of each two of some lower-case texts, the weighted Jaccard of their 2- to 5-grams. Sizes that either lacks are left out; equal
+    texts are alike, and without any size in common two are not."""
+    top, bottom = np.zeros((len(texts), len(texts))), np.zeros((len(texts), len(texts)))
+    for w, (number, owner) in zip(NGRAM_WEIGHTS.values(), grams.char_grams(texts, list(NGRAM_WEIGHTS))):
+        common = grams.shared(number, owner, len(texts))
+        has = np.diag(common) > 0
+        some = has[:, None] & has[None, :]
+        top, bottom = top + np.where(some, w * grams.jaccard(common, 0.0), 0.0), bottom + np.where(some, w, 0.0)
+    known: dict = {}
+    alike = np.array([-1 - i if t is None else known.setdefault(t, len(known)) for i, t in enumerate(texts)])
+    return np.where(alike[:, None] == alike[None, :], 1.0, top / np.where(bottom > 0, bottom, 1.0))
+
+
+def strict_ngrams(texts: Sequence[str | None], n: int = 3) -> np.ndarray:
+    """``strict_ngram_jaccard`` of each two of some texts."""
+    ((number, owner),) = grams.char_grams(texts, [n])
+    return grams.jaccard(grams.shared(number, owner, len(texts)), 0.0)
+
+
+@F.pandas_udf(T.DoubleType())
+def _weighted(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_ngrams(pair)[0, 1] for pair in zip(a, b)], dtype="float64")
+
+
 def with_weighted_ngrams(df: DataFrame, a: str, b: str, into: str) -> DataFrame:
     """Adds the weighted Jaccard of 2- to 5-grams of two text columns; sizes that neither text has are
-    left out. The n-grams are columns of their own, so each is made once per row."""
-    sides = {f"_{side}{n}": char_ngrams(F.col(f"_{side}"), n) for n in NGRAM_WEIGHTS for side in "ab"}
-    df = df.withColumns({"_a": F.lower(a), "_b": F.lower(b)}).withColumns(sides)
-    shared = df.withColumns({f"_s{n}": F.size(F.array_intersect(f"_a{n}", f"_b{n}")) for n in NGRAM_WEIGHTS})
-    top, bottom = F.lit(0.0), F.lit(0.0)
-    for n, w in NGRAM_WEIGHTS.items():
-        some = (F.size(f"_a{n}") > 0) & (F.size(f"_b{n}") > 0)
-        top = top + F.when(some, w * F.col(f"_s{n}") / (F.size(f"_a{n}") + F.size(f"_b{n}") - F.col(f"_s{n}"))).otherwise(0.0)
-        bottom = bottom + F.when(some, w).otherwise(0.0)
-    score = F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).when(bottom > 0, top / bottom).otherwise(0.0)
-    return shared.withColumn(into, score).drop("_a", "_b", *sides, *[f"_s{n}" for n in NGRAM_WEIGHTS])
+    left out."""
+    return df.withColumn(into, _weighted(F.lower(a), F.lower(b)))
 
 
 def keywords(text: Column) -> Column:

@@ -1,20 +1,33 @@
 """Consistency of repeated outputs. Rows: group_id, ordinal, content; a group is the outputs of one prompt.
 
-Means of set similarities come from shared elements, equal outputs counted once; what is defined by pairs has a large group's pairs
-made by many tasks.
+Similarities of n-grams and edit distances are made block by block: a block is some outputs of a group, and a task compares what is
+in one with itself or with another block's, so the n-grams never leave the task. A large group's blocks are dealt over many tasks. Means count equal
+outputs once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from verdigris.functions import grams
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
-from verdigris.functions.edits import edit_distance
+from verdigris.functions.edits import edit_distance, edits
 
 #: About so many outputs of a group a task compares with the group's others.
 OUTPUTS_AT_ONCE = 1_000
+#: A block has about so many outputs and bytes of text; a task has so many of a group's blocks, and meets the group's others.
+OUTPUTS_IN_BLOCK, BYTES_IN_BLOCK, BLOCKS_AT_ONCE = 48, 1 << 20, 16
+#: The groups of more than one block are broadcast up to this many.
+MOST_LARGE = 100_000
 
 
 def pairs(outputs: DataFrame) -> DataFrame:
@@ -33,43 +46,110 @@ def distinct_outputs(outputs: DataFrame) -> DataFrame:
     return normal.groupBy("group_id", "content").agg(F.count("*").alias("m"))
 
 
-def mean_jaccard(contents: DataFrame, elements: Column, into: str) -> DataFrame:
-    """(group_id, into): the mean Jaccard of the pairs of a group's outputs, from ``distinct_outputs``. Equal outputs are alike, and so are
-    two without elements; of others only those that share an element are met, by a join on the elements, and counted
-    as often as they occur. What shares nothing adds nothing, and is never made a pair."""
-    sets = contents.withColumns({"_e": elements, "_id": F.xxhash64("content")}).withColumn("_n", F.size("_e"))
-    m, none = F.col("m").cast("double"), F.col("_n") == 0
-    on = lambda c, value: F.coalesce(F.sum(F.when(c, value)), F.lit(0.0))
-    alike = (F.sum(m * (m - 1)) + F.pow(on(none, m), 2) - on(none, m * m)) / 2
-    base = sets.groupBy("group_id").agg((F.pow(F.sum(m), 2) - F.sum(m)).alias("_twice"), alike.alias("_alike"))
-    # explode would have its filter of empty lists pushed down to the table, where each element's expression holds the whole text's
-    each = sets.select("group_id", "_id", "m", "_n", F.explode_outer("_e").alias("_x")).where("_x IS NOT NULL")
-    other = each.select("group_id", "_x", *[F.col(c).alias(f"{c}2") for c in ("_id", "m", "_n")])
-    met = each.join(other, ["group_id", "_x"]).where("_id < _id2").groupBy("group_id", "_id", "_id2", "m", "m2", "_n", "_n2").agg(F.count("*").alias("_shared"))
-    shared = met.groupBy("group_id").agg(F.sum(F.col("m") * F.col("m2") * (F.col("_shared") / (F.col("_n") + F.col("_n2") - F.col("_shared")))).alias("_sum"))
-    mean = (F.col("_alike") + F.coalesce("_sum", F.lit(0.0))) / (F.col("_twice") / 2)
-    return base.where("_twice > 0").join(shared, "group_id", "left").select("group_id", F.round(mean, 6).alias(into))
+def blocks(outputs: DataFrame, rows: DataFrame, mark: str) -> DataFrame:
+    """(group_id, a, b): blocks of the content and the ``mark`` of ``rows``, which are the ``outputs`` or made of them. Where b is null, a is to be
+    compared with itself; over all lines each two rows of a group meet once."""
+    size = F.greatest(F.count("*") / OUTPUTS_IN_BLOCK, F.sum(F.octet_length("content")) / BYTES_IN_BLOCK, F.lit(1.0))
+    large = outputs.groupBy("group_id").agg(F.ceil(size).cast("int").alias("_blocks")).where("_blocks > 1 AND group_id IS NOT NULL")
+    large = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
+    dealt = rows.where("group_id IS NOT NULL").join(large, "group_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(mark, "content"), F.col("_blocks")).cast("int"))
+    held = dealt.groupBy("group_id", "_blocks", "_block").agg(F.collect_list(F.struct(F.col(mark).alias("mark"), "content")).alias("a"))
+    parts = F.ceil(F.col("_blocks") / BLOCKS_AT_ONCE).cast("int")
+    a = held.where("_blocks > 1").select("group_id", (F.col("_block") % parts).alias("_part"), "_block", "a")
+    b = held.where("_blocks > 1").select("group_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("_block").alias("_other"), F.col("a").alias("b"))
+    met = a.join(b, ["group_id", "_part"]).where("_block <= _other").select("group_id", "a", F.when(F.col("_block") < F.col("_other"), F.col("b")).alias("b"))
+    return held.where("_blocks = 1").select("group_id", "a", F.lit(None).cast(held.schema["a"].dataType).alias("b")).union(met)
+
+
+def compared(blocks: DataFrame, measures: dict[str, Callable[[Sequence], np.ndarray]], weighted: bool = False) -> DataFrame:
+    """(group_id, i, j, measures) of each two rows that meet in ``blocks``, i and j their marks; or, ``weighted``, (group_id, measures), sums over them that count a pair
+    as often as the product of its marks. A measure takes some texts and gives a table of each against each."""
+    marks = blocks.schema["a"].dataType.elementType["mark"].dataType
+    id_type = blocks.schema["group_id"].dataType
+    ends = [] if weighted else [T.StructField(c, marks) for c in ("i", "j")]
+    schema = T.StructType([T.StructField("group_id", id_type), *ends, *(T.StructField(m, T.DoubleType()) for m in measures)])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def lines(row: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [c[0].values for c in row.columns[1:] if c[0].is_valid]
+        texts = [t for side in sides for t in side.field("content").to_pylist()]
+        first, second = np.triu_indices(len(texts), 1)
+        if len(sides) == 2:
+            across = (first < len(sides[0])) & (second >= len(sides[0]))
+            first, second = first[across], second[across]
+        found = [m(texts)[first, second] for m in measures.values()]
+        mark = pa.concat_arrays([side.field("mark") for side in sides])
+        if weighted:
+            times = mark.to_numpy(zero_copy_only=False).astype(float)
+            times = times[first] * times[second]
+            return pa.RecordBatch.from_arrays([row.column(0), *(pa.array([float(np.dot(times, f))]) for f in found)], schema=arrow)
+        group = pa.array(np.zeros(len(first), np.int32))
+        return pa.RecordBatch.from_arrays([row.column(0).take(group), mark.take(pa.array(first)), mark.take(pa.array(second)), *(pa.array(f, from_pandas=True) for f in found)], schema=arrow)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            for k in range(len(batch)):
+                waiting.append(lines(batch.slice(k, 1)))
+                n += len(waiting[-1])
+                if n > 10_000:
+                    yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                    waiting, n = [], 0
+        if n:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    return blocks.select("group_id", "a", "b").mapInArrow(compare, schema)
+
+
+def pair_measure(outputs: DataFrame, measure: Callable[[Sequence], np.ndarray], into: str) -> DataFrame:
+    """(group_id, i, j, into): a measure that is the same both ways, of each pair of ``pairs``."""
+    found = compared(blocks(outputs, outputs, "ordinal"), {into: measure}).where("i <> j")
+    return found.select("group_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), into)
+
+
+def char_likeness(texts: Sequence) -> np.ndarray:
+    """Jaccard of 3-grams of each two texts; 1 where neither has any."""
+    ((number, owner),) = grams.char_grams(texts, [3])
+    return grams.jaccard(grams.shared(number, owner, len(texts)), 1.0)
+
+
+def word_likeness(texts: Sequence) -> np.ndarray:
+    """Jaccard of pairs of words of each two texts; 1 where neither has any."""
+    return grams.jaccard(grams.shared(*grams.word_grams(texts, 2), len(texts)), 1.0)
+
+
+def edit_likeness(texts: Sequence) -> np.ndarray:
+    """1 - edits / longer length of each two texts; two empty ones are alike, and a null one has none."""
+    out = np.full((len(texts), len(texts)), np.nan)
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            b = texts[j]
+            if a is not None and b is not None:
+                out[i, j] = out[j, i] = 1 - edits(a, b) / max(len(a), len(b)) if a or b else 1.0
+    return out
+
+
+def mean_similarity(outputs: DataFrame, measures: dict[str, Callable[[Sequence], np.ndarray]]) -> DataFrame:
+    """(group_id, pairs, all_equal, measures): means over a group's pairs. Equal outputs are alike, and compared once. Groups of one output have
+    no pair and no row."""
+    once = distinct_outputs(outputs)
+    n, m = F.sum("m"), F.col("m")
+    base = once.groupBy("group_id").agg((n * (n - 1) / 2).cast("long").alias("pairs"), (F.count("*") == 1).alias("all_equal"), (F.sum(m * (m - 1)) / 2).alias("_alike")).where("pairs > 0")
+    sums = compared(blocks(outputs, once, "m"), measures, weighted=True).groupBy("group_id").agg(*[F.sum(c).alias(f"_{c}") for c in measures])
+    means = [F.round((F.col("_alike") + F.coalesce(f"_{c}", F.lit(0.0))) / F.col("pairs"), 6).alias(c) for c in measures]
+    return base.join(sums, "group_id", "left").select("group_id", "pairs", "all_equal", *means)
 
 
 def set_similarity(outputs: DataFrame) -> DataFrame:
     """Group means over pairs: character 3-grams and word 2-grams; their number, and whether all are equal. Groups of one
     output have no pair and no row."""
-    once = distinct_outputs(outputs)
-    n = F.sum("m")
-    base = once.groupBy("group_id").agg((n * (n - 1) / 2).cast("long").alias("pairs"), (F.count("*") == 1).alias("all_equal")).where("pairs > 0")
-    chars = mean_jaccard(once, S.char_ngrams(F.col("content"), 3), "char_3gram")
-    words = mean_jaccard(once.withColumn("_w", F.split("content", " ")), S.word_ngrams(F.col("_w"), 2), "word_2gram")
-    return base.join(chars, "group_id").join(words, "group_id")
+    return mean_similarity(outputs, {"char_3gram": char_likeness, "word_2gram": word_likeness})
 
 
 def pair_similarity(outputs: DataFrame) -> DataFrame:
     """``set_similarity`` and the mean likeness by edit distance, of which each pair of different contents is one."""
-    once = distinct_outputs(outputs)
-    apart = pairs(once.withColumnRenamed("m", "_m").select("group_id", F.struct(F.xxhash64("content").alias("id"), "_m").alias("ordinal"), "content"))
-    weight = (F.col("i._m") * F.col("j._m")).cast("double")
-    edits = apart.groupBy("group_id").agg(F.sum(weight * (1 - S.levenshtein_similarity(F.col("a"), F.col("b")))).alias("_apart"))
-    found = set_similarity(outputs).join(edits, "group_id", "left")
-    return found.withColumn("levenshtein", F.round(1 - F.coalesce("_apart", F.lit(0.0)) / F.col("pairs"), 6)).select("group_id", "pairs", "all_equal", "levenshtein", "char_3gram", "word_2gram")
+    return mean_similarity(outputs, {"levenshtein": edit_likeness, "char_3gram": char_likeness, "word_2gram": word_likeness})
 
 
 def group_jaccard(outputs: DataFrame) -> DataFrame:

@@ -139,8 +139,8 @@ pair_query("SIM14_expected_overlap", f"least(1.0, len(list_filter({EXPECTED}, la
 
 @query("SIM7_strict_ngrams", PAIRS + f", g AS (SELECT group_id, i, j, {T.char_grams_sql('na', 3)} AS ca, {T.char_grams_sql('nb', 3)} AS cb FROM p) SELECT group_id, i, j, round(CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN 0.0 ELSE {T.jaccard_sql('ca', 'cb')} END, 6) AS similarity FROM g")
 def sim7(spark, sf):
-    p = consistency.pairs(turns(spark, sf).withColumn("content", X.normalized(F.col("content"))))
-    return p.select("group_id", "i", "j", F.round(S.strict_ngram_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+    p = consistency.pair_measure(turns(spark, sf).withColumn("content", X.normalized(F.col("content"))), S.strict_ngrams, "similarity")
+    return p.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SIM5_word_ngrams", PAIRS + f", g AS (SELECT group_id, i, j, {T.word_grams_sql('na', 2)} AS wa, {T.word_grams_sql('nb', 2)} AS wb FROM p) SELECT group_id, i, j, round({T.jaccard_sql('wa', 'wb')}, 6) AS similarity FROM g")
