@@ -263,8 +263,8 @@ def sim9(spark, sf):
     + "SELECT group_id, i, j, round(CASE WHEN x = y THEN 1.0 WHEN bottom > 0 THEN top / bottom ELSE 0.0 END, 6) AS similarity FROM s",
 )
 def sim8(spark, sf):
-    p = consistency.pairs(turns(spark, sf))
-    return S.with_weighted_ngrams(p, "a", "b", "similarity").select("group_id", "i", "j", F.round("similarity", 6).alias("similarity"))
+    p = consistency.pair_measure(turns(spark, sf).withColumn("content", F.lower("content")), S.weighted_ngrams, "similarity")
+    return p.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
