@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.sources import database, files
+from verdigris.plans import surfaces
+from verdigris.sources import snapshots
+from types import SimpleNamespace
 from verdigris.streaming import monitoring, topics
 
 TYPES = {"name": "VARCHAR(100)", "status": "VARCHAR(20)"}
@@ -98,3 +101,29 @@ def test_the_bus_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
     assert received() == want(80)
     with pytest.raises(ValueError):
         topics.subscribe(spark, bus, "id long", ["gossip"])
+
+
+def test_runs_are_merged_into_a_table_of_files(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "runs")
+    runs = lambda rows, run: snapshots.upsert(spark.createDataFrame(rows, SCHEMA).repartition(3), ["id"], run, at)
+    there = lambda: {r["id"]: (r["name"], r["status"], r["score"]) for r in snapshots.read(spark, at).collect()}
+    assert runs([(i, f"n{i}", "pending", None) for i in range(20)] + [(None, "x", "y", 1.0)], 1)
+    assert runs([(3, None, "completed", 0.5), (25, "new", None, 1.5), (25, "newer", None, 1.0)], 2)
+    want = {i: (f"n{i}", "pending", None) for i in range(20)} | {3: ("n3", "completed", 0.5), 25: ("newer", None, 1.5)}
+    assert there() == want and snapshots.read(spark, at).count() == 21
+    assert not runs([(3, "late", "late", 9.0)], 2) and there() == want
+    bad = spark.createDataFrame([(1, "n", "s", 1.0)], SCHEMA).withColumn("score", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        snapshots.upsert(bad, ["id"], 3, at)
+    assert there() == want and runs([(1, None, None, 7.0)], 3) and there() == want | {1: ("n1", "pending", 7.0)}
+
+
+def test_upserts_need_no_database_where_executors_have_their_own_jvm(spark, monkeypatch):
+    monkeypatch.setattr(surfaces, "database", lambda spark: None)
+    found = {r["id"]: r["name"] for r in surfaces.Q["SNK8_jdbc_upsert"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == 15 and all((found[i] == "changed") == (i % 5 == 0) for i in range(10, 25))
+
+
+def test_which_masters_have_an_embedded_database():
+    reached = lambda master: surfaces.database(SimpleNamespace(sparkContext=SimpleNamespace(master=master))) is not None
+    assert [reached(m) for m in ("local", "local[4]", "local-cluster[3,2,3000]", "spark://host:7077", "yarn")] == [True, True, False, False, False]
