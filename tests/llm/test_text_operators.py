@@ -418,6 +418,24 @@ def test_common_terms_are_pruned_without_loss(monkeypatch):
             assert np.allclose(found[q][1], scores[best]) and found[q][0] == best.tolist()
 
 
+def test_near_ties_are_ranked_exactly_though_pruned_in_single_precision():
+    """Scores that single precision cannot tell apart; what is added up for all documents is in it, what reaches a threshold is scored from its own terms."""
+    n = 300
+    docs = [(np.arange(12), np.where(np.arange(12) == i % 12, 1 + i % 5, 1)) for i in range(n)]
+    lists = {c: np.frombuffer(raw, bm25.LISTS[c]) for c, raw in bm25.invert([t for t, _ in docs], [c for _, c in docs]).items()}
+    weight = 1 + np.arange(12) * 1e-9
+    packed = bm25.Queries.pack(np.arange(1), np.array([12]), np.arange(12), weight)
+    shard = bm25.Shard.load(lists, 13.0)
+    assert shard.common.dtype == shard.gain.dtype == np.float32
+    ((_, found, scores),) = shard.search(packed, np.zeros(1), 10)
+    full = np.array([sum(weight * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * c.sum() / 13.0))) for _, c in docs])
+    best = np.lexsort((np.arange(n), -full.round(13)))[:10]
+    assert found.tolist() == best.tolist() and np.allclose(scores, full[best], rtol=1e-14)
+    floor = np.array([scores[4]])  # a threshold that is met exactly
+    ((_, again, _),) = shard.search(packed, floor, 10)
+    assert again[:5].tolist() == found[:5].tolist()
+
+
 # op9
 
 
