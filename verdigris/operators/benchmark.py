@@ -13,6 +13,8 @@ from verdigris.functions.percentiles import with_percentiles
 
 #: What a summary prices a thousand prompt and completion tokens at.
 PROMPT_PER_1K, COMPLETION_PER_1K = 0.03, 0.06
+#: What the views of a fleet read of its results.
+SUMMED = ("provider", "category", "repository", "status", "duration_ms", "prompt_tokens", "completion_tokens")
 RANKS = {"p50_duration_ms": ("rank", 0.5), "p95_duration_ms": ("rank", 0.95), "p99_duration_ms": ("rank", 0.99)}
 
 
