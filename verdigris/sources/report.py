@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.storage import stored
 from verdigris.operators import benchmark
 
 FAILING_BELOW = 0.9
@@ -50,7 +51,8 @@ def section(number: int, title: str, df: DataFrame, rate: str | None = None, nam
 
 
 def report_lines(results: DataFrame, failing_below: float = FAILING_BELOW) -> DataFrame:
-    """(line): the sections' lines, in the order of the page."""
+    """(line): the sections' lines, in the order of the page. The results are made once for all of them."""
+    results = stored(results.select(*benchmark.SUMMED))
     parts = [
         section(0, "Fleet", benchmark.fleet_summary(results)),
         section(1, "Providers", benchmark.breakdown(results, "provider"), name="provider"),
