@@ -5,12 +5,15 @@ A request row has: scenario, provider, model, level, success, failure_mode, late
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.percentiles import with_percentiles
+from verdigris.functions.storage import checkpoint, stored
 
 SCENARIO = ["scenario", "provider", "model"]
+#: What is found of scenarios is broadcast up to so many of them.
+MOST_SCENARIOS = 10_000
 
 
 def failure_modes(requests: DataFrame) -> DataFrame:
@@ -68,16 +71,31 @@ def typed_recovery(requests: DataFrame) -> DataFrame:
     return recovery(requests.where(F.col("test_type").isin(*RECOVERING)))
 
 
-def recovery(requests: DataFrame) -> DataFrame:
+def _beside(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """``requests`` with what was found of their scenarios; where those are few, requests stay where they are."""
+    few = found.limit(MOST_SCENARIOS + 1).count() <= MOST_SCENARIOS
+    return requests.join(F.broadcast(found) if few else found, SCENARIO)
+
+
+def _earliest(requests: DataFrame, on: Column, into: str) -> DataFrame:
+    """Per scenario the least ``at`` of the requests that ``on`` holds for, null if of none. Times are compared first, as numbers, so only
+    requests of one time are put in order by their ties."""
+    times = checkpoint(requests.groupBy(*SCENARIO).agg(F.min(F.when(on, F.col("_time"))).alias("_least")))
+    tied = _beside(requests, times).where(on & (F.col("_time") == F.col("_least"))).groupBy(*SCENARIO).agg(F.min("at").alias(into))
+    return checkpoint(times.select(*SCENARIO).join(tied, SCENARIO, "left"))
+
+
+def recovery(requests: DataFrame, are_stored: bool = False) -> DataFrame:
     """First failure to the first success after it, and the success rate from then on (1 and no time
-    if nothing failed or nothing recovered). Order: ts, then tie."""
-    at = F.struct("ts", "tie")
-    first = requests.groupBy(*SCENARIO).agg(F.min(F.when(~F.col("success"), at)).alias("failed"))
-    marked = requests.join(first, SCENARIO).withColumn("at", at)
-    back = marked.groupBy(*SCENARIO).agg(F.min(F.when(F.col("success") & (F.col("at") > F.col("failed")), F.col("at"))).alias("back"))
-    after = marked.join(back, SCENARIO).groupBy(*SCENARIO).agg(
-        F.first("failed").alias("failed"), F.first("back").alias("back"), F.avg(F.when(F.col("at") >= F.col("back"), F.col("success").cast("double"))).alias("rate")
-    )
+    if nothing failed or nothing recovered). Order: ts, then tie. Requests are read several times, so they are stored first, unless
+    they ``are_stored``."""
+    rows = requests.select(*SCENARIO, "success", "ts", "tie").dropna(subset=SCENARIO)
+    time = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 63)))
+    rows = (rows if are_stored else stored(rows)).withColumns({"at": F.struct("ts", "tie"), "_time": time})
+    first = _earliest(rows, ~F.col("success"), "failed")
+    back = _earliest(_beside(rows, first), F.col("success") & (F.col("at") > F.col("failed")), "back")
+    rates = _beside(rows, back).groupBy(*SCENARIO).agg(F.avg(F.when(F.col("at") >= F.col("back"), F.col("success").cast("double"))).alias("rate"))
+    after = first.join(back, SCENARIO).join(rates, SCENARIO)
     took = (F.unix_micros(F.col("back.ts").cast("timestamp")) - F.unix_micros(F.col("failed.ts").cast("timestamp"))) / 1000
     return after.select(*SCENARIO, F.when(F.col("back").isNotNull(), took).cast("long").alias("recovery_ms"), F.round(F.when(F.col("back").isNull(), 1.0).otherwise(F.col("rate")), 6).alias("stability"))
 
@@ -86,8 +104,9 @@ def robustness(requests: DataFrame) -> DataFrame:
     """Per provider and model: the score of success, breaking points and stability, sustainable
     concurrency, severity and the most common failure."""
     keys = ["provider", "model"]
+    requests = stored(requests.select(*SCENARIO, "level", "success", "failure_mode", "ts", "tie"))
     rates = requests.groupBy(*SCENARIO).agg(F.avg(F.col("success").cast("double")).alias("rate"))
-    scenarios = rates.join(breaking_points(requests).select(*SCENARIO, "first_failure_at"), SCENARIO, "left").join(recovery(requests).select(*SCENARIO, "stability"), SCENARIO)
+    scenarios = rates.join(breaking_points(requests).select(*SCENARIO, "first_failure_at"), SCENARIO, "left").join(recovery(requests, True).select(*SCENARIO, "stability"), SCENARIO)
     base = scenarios.groupBy(*keys).agg(
         F.avg("rate").alias("rate"), F.count("first_failure_at").alias("breaks"), F.avg("stability").alias("stability"), (F.min("first_failure_at") - 1).alias("max_concurrency")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions.storage import stored
 from verdigris.operators import confidence, consistency, costs, metrics, records, sensitivity
 from verdigris.operators import inference as tests
 from verdigris.operators import stress as stressed
@@ -169,10 +170,10 @@ def sta16c(spark, sf):
 )
 def sta16d(spark, sf):
     """A category is a type of test."""
-    r = P.requests(spark, sf)
+    r = stored(P.requests(spark, sf).select(*stressed.SCENARIO, "level", "success", "ts", "tie"))
     s = r.groupBy("scenario", "provider", "model").agg(F.count("*").alias("requests"), F.avg(F.col("success").cast("double")).alias("success_rate"))
     broken = stressed.breaking_points(r).select("scenario", "provider", "model", F.lit(True).alias("b"))
-    back = stressed.recovery(r).select("scenario", "provider", "model", F.col("recovery_ms").isNotNull().alias("recovered"))
+    back = stressed.recovery(r, True).select("scenario", "provider", "model", F.col("recovery_ms").isNotNull().alias("recovered"))
     s = s.join(broken, ["scenario", "provider", "model"], "left").join(back, ["scenario", "provider", "model"], "left")
     s = s.withColumns({"breaks": F.coalesce("b", F.lit(False)), "test_type": F.col("scenario")})
     return confidence.of_stress(s)
