@@ -23,9 +23,8 @@ def violations(texts: DataFrame) -> DataFrame:
     pairs = F.zip_with("_low", F.slice("_low", F.lit(2), F.size("_low")), repeat)
     short = F.col("words") < 3
     none_if_short = lambda c: F.when(short, 0).otherwise(c)
-    markers = sum(X.marker_counts(F.col("text")).values(), F.lit(0))
     return t.withColumn("_c", counts).select(
-        "id", "words", markers.alias("markers"), short.cast("int").alias("short"),
+        "id", "words", X.marker_count(F.col("text")).alias("markers"), short.cast("int").alias("short"),
         none_if_short(F.size(F.filter("_c", lambda c: c["n"] > LONG_SENTENCE))).alias("long_sentences"),
         none_if_short(F.size(F.filter("_c", lambda c: (c["n"] == 1) & ~c["closed"]))).alias("single_words"),
         none_if_short(F.size(F.filter(pairs, lambda p: F.coalesce(p, F.lit(False))))).alias("repeats"),
