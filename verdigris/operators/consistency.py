@@ -20,7 +20,7 @@ from verdigris.functions import grams
 
 from verdigris.functions import similarity as S
 from verdigris.functions import text as X
-from verdigris.functions.edits import edit_distance, edits
+from verdigris.functions.edits import edit_distance, edit_table
 
 #: About so many outputs of a group a task compares with the group's others.
 OUTPUTS_AT_ONCE = 1_000
@@ -121,12 +121,10 @@ def word_likeness(texts: Sequence) -> np.ndarray:
 
 def edit_likeness(texts: Sequence) -> np.ndarray:
     """1 - edits / longer length of each two texts; two empty ones are alike, and a null one has none."""
-    out = np.full((len(texts), len(texts)), np.nan)
-    for i, a in enumerate(texts):
-        for j in range(i + 1, len(texts)):
-            b = texts[j]
-            if a is not None and b is not None:
-                out[i, j] = out[j, i] = 1 - edits(a, b) / max(len(a), len(b)) if a or b else 1.0
+    none, n = np.array([t is None for t in texts], bool), np.array([len(t or "") for t in texts])
+    longer = np.maximum(n[:, None], n[None, :])
+    out = np.where(longer == 0, 1.0, 1 - edit_table([t or "" for t in texts]) / np.maximum(longer, 1))
+    out[none[:, None] | none[None, :]] = np.nan
     return out
 
 
