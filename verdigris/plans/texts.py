@@ -227,8 +227,8 @@ def sim19(spark, sf):
 
 @query("SIM2_levenshtein", TURNS + f" SELECT group_id, i, j, round({ALIKE.format('a', 'b')}, 6) AS similarity FROM p")
 def sim2(spark, sf):
-    p = consistency.pairs(turns(spark, sf))
-    return p.select("group_id", "i", "j", F.round(S.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    p = consistency.pair_measure(turns(spark, sf), consistency.edit_likeness, "similarity")
+    return p.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SIM16_word_error_rate")
