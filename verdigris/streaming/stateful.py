@@ -1,6 +1,6 @@
 """Jobs, workers and histories as keyed state on a stream, with a twin of each over a table.
 
-What comes in may be late and may come more than once. Events wait in the state of their key until the watermark has passed
+What comes in may be late and may come more than once. Events wait in the state of their key's bucket until the watermark has passed
 them, and are then applied in order of (ts, event_id): results don't depend on the order of arrival, as long as nothing is later than
 ``delay``. Events that repeat an id and time count once. State is kept by Spark's RocksDB store (``use_rocksdb``), and survives a restart
 from the checkpoint.
@@ -11,6 +11,7 @@ other that a job's state does not admit.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ ADMITTED = {
 #: A worker in one of these states is well, if it was heard of lately.
 WELL = ("idle", "busy")
 MOST_RETRIES, TIMEOUT_MS, KEPT = 3, 60_000, 1000
+#: Keys are dealt over so many buckets, which hold for as long as a checkpoint does; a bucket's rows wait in chunks of so many.
+BUCKETS, ROWS_IN_CHUNK = 512, 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -45,35 +48,41 @@ def moved(state: tuple[str, int], action: str, most_retries: int) -> tuple[str,
 
 
 class InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then hands them on in order, each once."""
+    """Keeps a bucket's rows until the watermark has passed them, then hands them on in order, each once.
 
-    columns = "ts long, event_id string, what string"
+    A bucket is many keys: a call of state costs far more than a row, so rows wait in chunks and the states of a bucket's keys lie together.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
-        self.now = handle.getValueState("now", self.state)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.now = handle.getValueState("now", "states binary")
+
+    def wait(self, rows: list[tuple]) -> None:
+        for first in range(0, len(rows), ROWS_IN_CHUNK):
+            self.waiting.appendValue((pickle.dumps(rows[first : first + ROWS_IN_CHUNK]),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = [r for part in rows for r in zip(part["ts"].astype("int64").tolist(), part["event_id"].tolist(), part["what"].tolist())]
-        passed = timerValues.getCurrentWatermarkInMs()
-        self.waiting.appendList(came)
-        self.handle.registerTimer(max(min(came)[0], passed + 1))  # for the first of them; it sets the next
+        self.wait([r for part in rows for r in zip(part[self.names[0]].tolist(), part["ts"].astype("int64").tolist(), part["event_id"].tolist(), part["what"].tolist())])
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 1)  # when the watermark next moves
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(set(map(tuple, self.waiting.get()))) if self.waiting.exists() else []
-        due = [r for r in held if r[0] <= passed]
-        if rest := held[len(due) :]:
-            self.handle.registerTimer(rest[0][0])
-        if due and rest:
-            self.waiting.put(rest)
-        elif due:
+        held = {r for (chunk,) in self.waiting.get() for r in pickle.loads(chunk)} if self.waiting.exists() else set()
+        due = sorted((r for r in held if r[1] <= passed), key=lambda r: r[1:])
+        rest = [r for r in held if r[1] > passed] if due else held
+        if due:
             self.waiting.clear()
-        out = self.applied(key, due, passed)
-        if out:
-            yield pd.DataFrame(out, columns=self.names)
+            self.wait(rest)
+        now = pickle.loads(self.now.get()[0]) if self.now.exists() else {}
+        out = self.applied(now, due, passed)
+        if due or out:
+            self.now.update((pickle.dumps(now),))
+        if rest or self.timed and now:
+            self.handle.registerTimer(passed + 1)
+        for first in range(0, len(out), ROWS_IN_CHUNK):
+            yield pd.DataFrame(out[first : first + ROWS_IN_CHUNK], columns=self.names)
 
     def close(self) -> None:
         pass
@@ -82,49 +91,46 @@ class InOrder(StatefulProcessor):
 class Jobs(InOrder):
     """Every event, with the state before and after it and whether it was admitted."""
 
-    state, names = "status string, retries int", ["job_id", "event_id", "ts", "action", "before", "after", "retries", "accepted"]
+    timed, names = False, ["job_id", "event_id", "ts", "action", "before", "after", "retries", "accepted"]
 
     def __init__(self, most_retries: int):
         self.most_retries = most_retries
 
-    def applied(self, key, due: list[tuple], passed: int) -> list[tuple]:
-        state, out = tuple(self.now.get()) if self.now.exists() else ("", 0), []
-        for ts, event, action in due:
+    def applied(self, now: dict, due: list[tuple], passed: int) -> list[tuple]:
+        out = []
+        for job, ts, event, action in due:
+            state = now.get(job, ("", 0))
             after = moved(state, action, self.most_retries)
-            out.append((key[0], event, ts, action, state[0], (after or state)[0], (after or state)[1], after is not None))
-            state = after or state
-        if due:
-            self.now.update(state)
+            out.append((job, event, ts, action, state[0], *(after or state), after is not None))
+            if after:
+                now[job] = after
         return out
 
 
 class Workers(InOrder):
-    """Changes of workers: joined, and failed when silent for the timeout or not well."""
+    """Changes of workers: joined, and failed when silent for the timeout or not well. Only workers that are up have a state: when they were heard of."""
 
-    state, names = "heard long, up boolean", ["worker_id", "ts", "change"]
+    timed, names = True, ["worker_id", "ts", "change"]
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
-    def applied(self, key, due: list[tuple], passed: int) -> list[tuple]:
-        (heard, up), out = tuple(self.now.get()) if self.now.exists() else (0, False), []
-        for ts, _, status in due:
-            if up and ts - heard >= self.timeout_ms:
-                out.append((key[0], heard + self.timeout_ms, "failed"))
-                up = False
+    def applied(self, now: dict, due: list[tuple], passed: int) -> list[tuple]:
+        out = []
+        for worker, ts, _, status in due:
+            heard = now.pop(worker, None)
+            if heard is not None and ts - heard >= self.timeout_ms:
+                out.append((worker, heard + self.timeout_ms, "failed"))
+                heard = None
             if status in WELL:
-                out += [] if up else [(key[0], ts, "joined")]
-                up, heard = True, ts
-            elif up:
-                out.append((key[0], ts, "failed"))
-                up = False
-        if up and heard + self.timeout_ms <= passed:
-            out.append((key[0], heard + self.timeout_ms, "failed"))
-            up = False
-        elif up and due:
-            self.handle.registerTimer(heard + self.timeout_ms)
-        if due or out:
-            self.now.update((heard, up))
+                out += [(worker, ts, "joined")] if heard is None else []
+                now[worker] = ts
+            elif heard is not None:
+                out.append((worker, ts, "failed"))
+        for worker, heard in list(now.items()):
+            if heard + self.timeout_ms <= passed:
+                out.append((worker, heard + self.timeout_ms, "failed"))
+                del now[worker]
         return out
 
 
@@ -137,6 +143,11 @@ def _rows(events: DataFrame, key: str, what: str) -> DataFrame:
     return kept.withColumn("ts", F.unix_millis("at"))
 
 
+def _dealt(rows: DataFrame, key: str, delay: str):
+    """A stream's rows by their key's bucket."""
+    return rows.withWatermark("at", delay).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
+
+
 def _typed(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.timestamp_millis("ts"))
 
@@ -149,8 +160,7 @@ def job_transitions(events: DataFrame, delay: str = "1 hour", most_retries: int
     schema = f"job_id {kind}, event_id string, ts long, action string, before string, after string, retries int, accepted boolean"
     rows = _rows(events, "job_id", "action")
     if events.isStreaming:
-        keyed = rows.withWatermark("at", delay).groupBy("job_id")
-        return _typed(keyed.transformWithStateInPandas(Jobs(most_retries), schema, "Append", "EventTime"))
+        return _typed(_dealt(rows, "job_id", delay).transformWithStateInPandas(Jobs(most_retries), schema, "Append", "EventTime"))
     once = rows.drop("at").distinct().withColumnRenamed("what", "action")
     states = [(s, r) for s in ("", *dict.fromkeys(ADMITTED.values())) for r in range(most_retries + 1)]
     number = {s: k for k, s in enumerate(states)}
@@ -176,8 +186,7 @@ def worker_changes(heartbeats: DataFrame, delay: str = "1 hour", timeout_ms: int
     kind = heartbeats.schema["worker_id"].dataType.simpleString()
     rows = _rows(heartbeats, "worker_id", "status")
     if heartbeats.isStreaming:
-        keyed = rows.withWatermark("at", delay).groupBy("worker_id")
-        return _typed(keyed.transformWithStateInPandas(Workers(timeout_ms), f"worker_id {kind}, ts long, change string", "Append", "EventTime"))
+        return _typed(_dealt(rows, "worker_id", delay).transformWithStateInPandas(Workers(timeout_ms), f"worker_id {kind}, ts long, change string", "Append", "EventTime"))
     order = Window.partitionBy("worker_id").orderBy("ts", "event_id")
     well, end = F.col("what").isin(*WELL), F.lit(None).cast("long") if as_of is None else F.unix_millis(as_of.cast("timestamp"))
     seen = rows.drop("at").distinct().withColumns({
