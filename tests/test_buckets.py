@@ -93,3 +93,25 @@ def test_many_jobs_of_a_bucket_are_few_calls_of_state():
     got = Counter((r[0], r[1], r[3], *r[4:]) for r in out)
     assert got == plain_states([(e, EPOCH + dt.timedelta(milliseconds=t), j, a) for j, e, t, a in events if t <= mark], 3)
     assert most <= 12
+
+
+def test_many_workers_of_a_bucket_are_few_calls_of_state():
+    rng = random.Random(5)
+    beats = [(rng.randrange(1500), f"e{k:05}", 1000 * k, rng.choice(["idle", "busy", "busy", "failed"])) for k in range(6000)]
+    came = sorted(beats, key=lambda e: e[2] + rng.randrange(400_000))
+    out, most = replayed(stateful.Workers(900_000), ["worker_id", "event_id", "ts", "what"], [came[k : k + 1000] + came[k : k + 50] for k in range(0, 6000, 1000)], 1_000_000)
+    mark, heard, want = max(e[2] for e in beats) - 1_000_000, {}, Counter()
+    for worker, _, ts, status in beats:
+        if ts > mark:
+            break
+        if worker in heard and ts - heard[worker] >= 900_000:
+            want[worker, heard.pop(worker) + 900_000, "failed"] += 1
+        if status in stateful.WELL:
+            want[worker, ts, "joined"] += worker not in heard
+            heard[worker] = ts
+        elif heard.pop(worker, None) is not None:
+            want[worker, ts, "failed"] += 1
+    for worker, ts in heard.items():
+        want[worker, ts + 900_000, "failed"] += ts + 900_000 <= mark
+    assert Counter(out) == +want
+    assert most <= 12
