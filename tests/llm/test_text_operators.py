@@ -436,6 +436,28 @@ def test_near_ties_are_ranked_exactly_though_pruned_in_single_precision():
     assert again[:5].tolist() == found[:5].tolist()
 
 
+def test_queries_of_one_language_lie_together_and_blocks_overlap(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    language = rng.integers(0, 2, 60)
+    terms = [np.unique(np.append(g * 1000, rng.zipf(1.4, 40) % 300 + g * 1000)) for g in language]
+    laid = language[bm25.alike(np.array([len(t) for t in terms]), np.concatenate(terms))]
+    assert (np.diff(laid) != 0).sum() == 1
+    monkeypatch.setattr(bm25, "TERMS_IN_QUERY_BLOCK", 100)
+    monkeypatch.setattr(bm25, "DOCS_IN_SHARD", 20)
+    running, most, plain = [], [], bm25.search_block
+
+    def watched(*args):
+        running.append(1)
+        most.append(len(running))
+        plain(*args)
+        running.pop()
+
+    monkeypatch.setattr(bm25, "search_block", watched)
+    docs = texts(spark, list(enumerate(random_texts(60, 31))))
+    found = bm25.top_k(docs, docs.where("doc_id < 12")).select("query_id").distinct().count()
+    assert found == 12 and len(most) > 2 and max(most) == 2
+
+
 # op9
 
 
